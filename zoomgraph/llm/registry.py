@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module that holds the function of that name.
 MODULES = {
     "op1_fingerprint": "fingerprint",
+    "op2_ngram_join": "ngram_join",
     "op4_sharding": "sharding",
     "op6_substrings": "substrings",
     "op8_mixing": "mixing",

@@ -137,8 +137,8 @@ def unpack7(b: bytes) -> np.ndarray:
 
 
 def bucket_bits(spark) -> int:
-    """Bits of hash buckets: eight buckets or more for each shuffle partition, and a byte at least."""
-    return min(20, max(8, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    """Bits of hash buckets: two buckets or more for each shuffle partition, and a byte at least."""
+    return min(20, max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
