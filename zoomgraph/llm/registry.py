@@ -11,6 +11,7 @@ MODULES = {
     "op4_sharding": "sharding",
     "op6_substrings": "substrings",
     "op8_mixing": "mixing",
+    "op9_secrets": "secrets",
 }
 
 
