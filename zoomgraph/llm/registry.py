@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_fingerprint": "fingerprint",
     "op2_ngram_join": "ngram_join",
+    "op3_language": "language",
     "op4_sharding": "sharding",
     "op6_substrings": "substrings",
     "op8_mixing": "mixing",
