@@ -11,6 +11,7 @@ MODULES = {
     "op3_language": "language",
     "op4_sharding": "sharding",
     "op6_substrings": "substrings",
+    "op7_decontaminate": "decontaminate",
     "op8_mixing": "mixing",
     "op9_secrets": "secrets",
 }

@@ -10,6 +10,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words of letters and digits: all other ASCII bytes part them.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at once; one longer document makes a piece of its own.
@@ -85,9 +87,9 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inv[start])
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
-    """Maximal runs without ASCII white space; none crosses from one document into the next."""
-    ink = ~SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Maximal runs without ``space`` (ASCII white space); none crosses from one document into the next."""
+    ink = ~space[data]
     n = len(data)
     start, end = ink.copy(), ink.copy()
     if n:
