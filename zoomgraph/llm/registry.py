@@ -10,10 +10,12 @@ MODULES = {
     "op2_ngram_join": "ngram_join",
     "op3_language": "language",
     "op4_sharding": "sharding",
+    "op5_lm": "lm",
     "op6_substrings": "substrings",
     "op7_decontaminate": "decontaminate",
     "op8_mixing": "mixing",
     "op9_secrets": "secrets",
+    "op10_token_counts": "token_counts",
 }
 
 
