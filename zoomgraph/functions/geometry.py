@@ -13,6 +13,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """body(v) with v[name] worked out once a row, whatever lambdas it stands in."""
+    one = F.array(F.struct(*[c.alias(k) for k, c in values.items()]))
+    return F.transform(one, body)[0]
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
@@ -48,9 +54,12 @@ def poincare_distance(x, y) -> Column:
 
 
 def mobius_add(x, y) -> Column:
-    xy, xx, yy = dot(x, y), sq_norm(x), sq_norm(y)
-    den = 1 + 2 * xy + xx * yy
-    return F.zip_with(_c(x), _c(y), lambda a, b: ((1 + 2 * xy + yy) * a + (1 - xx) * b) / den)
+    def add(v):
+        den = 1 + 2 * v["xy"] + v["xx"] * v["yy"]
+        return F.zip_with(v["x"], v["y"], lambda a, b: ((1 + 2 * v["xy"] + v["yy"]) * a + (1 - v["xx"]) * b) / den)
+
+    points = {"x": _c(x), "y": _c(y)}
+    return let(points, lambda p: let({"x": p["x"], "y": p["y"], "xy": dot(p["x"], p["y"]), "xx": sq_norm(p["x"]), "yy": sq_norm(p["y"])}, add))
 
 
 def conformal_factor(x) -> Column:
@@ -58,27 +67,34 @@ def conformal_factor(x) -> Column:
 
 
 def project_to_ball(x, eps: float = 1e-5) -> Column:
-    n = norm(x)
-    return F.when(n >= 1 - eps, scale(x, F.lit(1 - eps) / n)).otherwise(_c(x))
+    to = lambda v: F.when(v["n"] >= 1 - eps, scale(v["x"], F.lit(1 - eps) / v["n"])).otherwise(v["x"])
+    return let({"x": _c(x)}, lambda p: let({"x": p["x"], "n": norm(p["x"])}, to))
 
 
 def exp_map(x, v) -> Column:
     """The point reached from x along the tangent v; x itself for v = 0. The result is projected."""
-    n = norm(v)
-    step = F.tanh(conformal_factor(x) * n / 2) / n
-    return F.when(n == 0, _c(x)).otherwise(project_to_ball(mobius_add(x, scale(v, step))))
+
+    def step(p):
+        far = F.tanh(p["f"] * p["n"] / 2) / p["n"]
+        return F.when(p["n"] == 0, p["x"]).otherwise(project_to_ball(mobius_add(p["x"], scale(p["v"], far))))
+
+    return let({"x": _c(x), "v": _c(v)}, lambda p: let({"x": p["x"], "v": p["v"], "n": norm(p["v"]), "f": conformal_factor(p["x"])}, step))
 
 
 def log_map(x, y) -> Column:
     """The tangent at x that leads to y; the zero vector where they are equal."""
-    w = mobius_add(scale(x, F.lit(-1.0)), y)
-    n = norm(w)
-    return F.when(n == 0, scale(y, F.lit(0.0))).otherwise(scale(w, F.lit(2.0) / conformal_factor(x) * F.atanh(F.least(n, F.lit(1 - 1e-7))) / n))
+
+    def back(p):
+        by = F.lit(2.0) / p["f"] * F.atanh(F.least(p["n"], F.lit(1 - 1e-7))) / p["n"]
+        return F.when(p["n"] == 0, scale(p["w"], F.lit(0.0))).otherwise(scale(p["w"], by))
+
+    moved = let({"x": _c(x), "y": _c(y)}, lambda p: F.struct(mobius_add(scale(p["x"], F.lit(-1.0)), p["y"]).alias("w"), conformal_factor(p["x"]).alias("f")))
+    return let({"m": moved}, lambda p: let({"w": p["m"]["w"], "f": p["m"]["f"], "n": norm(p["m"]["w"])}, back))
 
 
 def log_map_origin(x) -> Column:
-    n = F.least(F.greatest(norm(x), F.lit(1e-15)), F.lit(1 - 1e-7))
-    return scale(x, F.atanh(n) / n)
+    near = lambda v: scale(v["x"], F.atanh(v["n"]) / v["n"])
+    return let({"x": _c(x)}, lambda p: let({"x": p["x"], "n": F.least(F.greatest(norm(p["x"]), F.lit(1e-15)), F.lit(1 - 1e-7))}, near))
 
 
 def register(spark: SparkSession) -> None:

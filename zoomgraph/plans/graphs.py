@@ -181,7 +181,7 @@ def heat(sigmas: list[float], terms: int) -> str:
     return f"""{_NORM}, a AS (SELECT i, j, -v AS v FROM l WHERE i <> j), f AS (SELECT min(id) AS f FROM p),
     pw(m, id, x) AS (SELECT 0, f, 1.0::DOUBLE FROM f UNION ALL SELECT m + 1, a.i, sum(a.v * pw.x) FROM pw JOIN a ON a.j = pw.id WHERE m < {terms} GROUP BY m, a.i),
     s(sigma_idx, sigma) AS (VALUES {parts}),
-    u AS (SELECT sigma_idx, p.id, coalesce(sum(pow(sigma, m) / gamma(m + 1.0) * x), 0) AS u FROM s CROSS JOIN p LEFT JOIN pw ON pw.id = p.id GROUP BY sigma_idx, p.id),
+    u AS (SELECT sigma_idx, p.id, coalesce(sum(pow(sigma, m) / gamma(m + 1.0) * pw.x), 0) AS u FROM s CROSS JOIN p LEFT JOIN pw ON pw.id = p.id GROUP BY sigma_idx, p.id),
     w AS (SELECT sigma_idx, id, u / sum(u) OVER (PARTITION BY sigma_idx) AS w FROM u)"""
 
 
