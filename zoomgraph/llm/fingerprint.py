@@ -138,7 +138,8 @@ def imatch(docs: DataFrame, **band) -> DataFrame:
     heads = texts.join(prev, "doc_id").select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, k)").alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
     next_fp = own.join(prev, "doc_id").select(F.col("prev_id").alias("doc_id"), F.col("fp").alias("next_fp")).groupBy("doc_id").agg(F.min("next_fp").alias("next_fp"))
     small = own.distinct().join(next_fp, "doc_id", "left")
-    full = texts.withColumn("__h", F.xxhash64("text")).join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.floor(F.col("n_chars") / 4).cast("int"))
+    # both joins read one exchange of the texts, so nothing is added to them before it
+    full = texts.join(heads, "doc_id", "left").withColumn("__h", F.xxhash64("text")).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("k", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, int(n_chars) - k)"), F.expr("substring(head, 1, k)"))
     full = full.select("doc_id", "__h", "n_chars", F.when(F.col("head").isNull(), F.col("text")).otherwise(edited).alias("edited"))
     full = fingerprints(full.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)), "edited", "edited_fp", words).drop("edited")
