@@ -3,9 +3,11 @@
 1. Counts: every document's set size and a signature of its set; equal sets form a class. Shingles that
    repeat within a task are counted, and the most frequent of the corpus (a bounded list) come last in the
    global order of shingles. The list only orders: any order gives the same links.
-2. Candidates: two sets can reach the threshold only if their first shingles in that order share one. The
-   prefixes meet in hash buckets, where pairs must also pass the length bound and the bound on what can
-   still follow. A short list of holders gives all its pairs; a long one links each holder to its first.
+2. Candidates: sets of n shingles or more can reach the threshold only if their prefixes in that order,
+   longer by shares(n), have shares(n) shingles in common. The prefixes meet in hash buckets, where a common
+   shingle must also pass the length bound and the bound on what can come before and after it. A short list
+   of holders counts for all its pairs; a long one for each holder and its first, and for itself. A pair
+   with half the shares is a candidate, a document with half of them in long lists stays in play.
 3. Verification: around each first member ("centre") its candidates' ordered sets are stored in a prefix
    tree, which the centre's set walks: shared beginnings are counted once, and a subtree is left when the
    remaining lengths can no longer reach the threshold.
@@ -119,6 +121,11 @@ def least_overlap(a, b):
     return (4 * (a + b) + 8) // 9
 
 
+def shares(n):
+    """How many prefix shingles two sets must have in common, the smaller one of n."""
+    return np.maximum(1, n // 25)
+
+
 PREFIX = "bucket int, ids binary, comps binary, lens binary, at binary, grams binary"
 
 
@@ -139,7 +146,7 @@ def _prefixes(bits: int, frequent_, labelled: bool):
             n = np.bincount(doc, minlength=len(ids))
             doc, h, _ = ordered(doc, h, last)
             at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            keep = at < n[doc] - (4 * n[doc] + 4) // 5 + 1
+            keep = at < n[doc] - (4 * n[doc] + 4) // 5 + shares(n[doc])
             doc, h, at = doc[keep], h[keep], at[keep]
             held.append((ids[doc], comp[0][doc] if labelled else ids[doc], n[doc].astype(np.int32), at.astype(np.int32), h))
             size += len(h)
@@ -152,14 +159,31 @@ def _prefixes(bits: int, frequent_, labelled: bool):
     return run
 
 
-def _distinct(t: pa.Table) -> pa.Table:
-    p = np.stack([np.concatenate([np.frombuffer(x, np.int64) for x in t.column(c).to_pylist()]) for c in "ab"], 1)
-    p = np.unique(p, axis=0)
-    return pa.table({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+def _tally(a, b, n, votes):
+    """Votes summed over equal (a, b, n)."""
+    order = np.lexsort((n, b, a))
+    a, b, n, votes = a[order], b[order], n[order], votes[order]
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])]) if len(a) else np.zeros(0, int)
+    return a[new], b[new], n[new], np.add.reduceat(votes, new) if len(new) else votes
+
+
+PAIRS = "grp int, a binary, b binary, n binary, votes binary"
+
+
+def _elected(labelled: bool):
+    """Of one group of larger sets: the pairs, and documents paired with themselves, that have enough votes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
+        a, b, n, votes = _tally(col("a", np.int64), col("b", np.int64), col("n", np.int32), col("votes", np.int32).astype(np.int64))
+        ok = votes >= (shares(n) if labelled else (shares(n) + 1) // 2)
+        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+
+    return run
 
 
 def _candidates(labelled: bool, parts: int):
-    """Candidate pairs (the smaller set first) of one bucket of prefix shingles, packed by the larger's group."""
+    """Votes of one bucket of prefix shingles for pairs (the smaller set first), packed by the larger's group."""
 
     def run(t: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
@@ -169,18 +193,16 @@ def _candidates(labelled: bool, parts: int):
         order = np.lexsort((ids, n, h))
         ids, comps, n, at, h = (x[order] for x in (ids, comps, n, at, h))
         s, e = groups(h)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found = [(np.zeros(0, np.int64),) * 3]
 
         def pairs(i, j):
-            """i before j, so n[i] <= n[j]: length bound, indexed prefix of the smaller, what can still follow."""
+            """i before j, so n[i] <= n[j]: length bound, indexed prefix of the smaller, what else can be common."""
             ok = (5 * n[i] >= 4 * n[j]) & (ids[i] != ids[j])
-            ok &= at[i] < n[i] - (8 * n[i] + 8) // 9 + 1
-            ok &= 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= least_overlap(n[i], n[j])
+            ok &= at[i] < n[i] - (8 * n[i] + 8) // 9 + shares(n[i])
+            ok &= np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j])
             if labelled:
                 ok &= comps[i] != comps[j]
-            a.append(ids[i[ok]])
-            b.append(ids[j[ok]])
-            return ok
+            found.append((ids[i[ok]], ids[j[ok]], n[i[ok]]))
 
         size = e - s
         for m in range(2, SHORT + 1):
@@ -192,25 +214,23 @@ def _candidates(labelled: bool, parts: int):
         for x, y in zip(s[size > SHORT], e[size > SHORT], strict=True):
             if labelled:  # every pair of unlike labels, from the side of the less common labels
                 names, which, count = np.unique(comps[x:y], return_inverse=True, return_counts=True)
-                for i in np.flatnonzero(which != np.argmax(count)) + x:
-                    j = np.r_[np.arange(i + 1, y), x + np.flatnonzero(which[: i - x] == np.argmax(count))]
+                most = np.argmax(count)
+                for i in np.flatnonzero(which != most) + x:
+                    j = np.r_[np.arange(i + 1, y), x + np.flatnonzero(which[: i - x] == most)]
                     pairs(np.minimum(i, j), np.maximum(i, j))
-            else:  # each holder with the first that is not too small for it, or the one before it
+            else:  # each holder with the first that is not too small for it, and with itself
                 j = np.arange(x, y)
-                i = np.minimum(np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x, np.maximum(j - 1, x))
-                took = pairs(i, j)
-                j = j[~took]
-                k = np.maximum(j - 1, x)
-                took = pairs(k, j)
-                a.append(ids[j[~took]])  # no partner yet, but still in play: a pair with itself
-                b.append(ids[j[~took]])
-        p = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        g = (mix(p[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                i = np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x
+                pairs(i[i < j], j[i < j])
+                found.append((ids[j], ids[j], n[j]))
+        a, b, k = (np.concatenate(c) for c in zip(*found, strict=True))
+        a, b, k, votes = _tally(a, b, k, np.ones(len(a), np.int64))
+        g = (mix(b.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(g, kind="stable")
-        g, p = g[order], p[order]
-        rows = [(int(g[x]), p[x:y, 0].tobytes(), p[x:y, 1].tobytes()) for x, y in zip(*groups(g), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["grp", "a", "b"])
+        g, a, b, k, votes = g[order], a[order], b[order], k[order].astype(np.int32), votes[order].astype(np.int32)
+        rows = [(int(g[x]), *(c[x:y].tobytes() for c in (a, b, k, votes))) for x, y in zip(*groups(g), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["grp", "a", "b", "n", "votes"])
 
     return run
 
@@ -301,8 +321,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are runs without ASCII white space after A-Z are lowered. Fewer than five words are one shingle;
     null or blank texts have an empty set and are linked with nothing. class_id: the smallest doc_id with
-    the same set. component_id: the smallest reachable by links. Repeated rows of one id are judged each by
-    its text and joined in one component. A null doc_id counts as the smallest id. Empty input gives an
+    the same set. component_id: the smallest reachable by links. Rows that repeat an id are joined in
+    one component; if their texts differ, any one of them is compared with other documents. A null doc_id counts as the smallest id. Empty input gives an
     empty result; further columns are not carried."""
     spark = docs.sparkSession
     bits = bucket_bits(spark)
@@ -311,14 +331,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stats = cut(texts.mapInArrow(_stats, STATS))
     sets = stats.where("doc_id is not null").select("doc_id", "n", "s1", "s2")
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    equal = sets.where("n > 0").join(classes, ["n", "s1", "s2"]).select("doc_id", "class_id").distinct()
-    equal = cut(equal)
+    classed = cut(sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "class_id"))
+    equal = classed.where("n > 0").select("doc_id", "class_id").distinct()
     last = spark.sparkContext.broadcast(frequent(stats))
 
     def candidates(d: DataFrame, labelled: bool) -> DataFrame:
         sent = d.mapInArrow(_prefixes(bits, last, labelled), PREFIX)
-        packed = sent.groupBy("bucket").applyInArrow(_candidates(labelled, parts), "grp int, a binary, b binary")
-        return packed.groupBy("grp").applyInArrow(_distinct, "a long, b long")
+        packed = sent.groupBy("bucket").applyInArrow(_candidates(labelled, parts), PAIRS)
+        return packed.groupBy("grp").applyInArrow(_elected(labelled), "a long, b long")
 
     # round 1; copies stand for their class from here on
     found = cut(candidates(texts, False))
@@ -326,7 +346,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = cut(named.where("ca <> cb or a = b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     pairs = named.where("a <> b")
     ids = named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    live = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW))).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    live = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW))).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     live = cut(live)
     links = cut(_links(pairs, live, last))
     label = cut(components(links).withColumnRenamed("id", "doc_id"))
@@ -335,7 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = cut(candidates(labelled, True).join(pairs, ["a", "b"], "left_anti"))
     links = links.union(_links(more, live, last))
     final = components(links.union(equal.where("doc_id <> class_id").toDF("a", "b"))).withColumnRenamed("id", "doc_id")
-    out = sets.join(equal, "doc_id", "left").join(final, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = classed.join(final, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.select(*[F.nullif(F.col(c), F.lit(LOW).cast("long")).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
@@ -344,10 +364,9 @@ def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_ngram_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the smallest id, and of rows that share it the first text."""
-    comps = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    kept = comps.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each component stays, that of the smallest id; rows that repeat an id stay or go together."""
+    gone = near_duplicates(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]), "left_anti")
 
 
 OP2_SQL = r"""
