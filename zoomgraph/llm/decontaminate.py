@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .textkit import LOWER, PUNCTUATION, groups, mix, pieces, words
 
-K1, B, BLOCK = 1.2, 0.75, 8
+K1, B, BLOCK = 1.2, 0.75, 2
 THRESHOLD, OVERLAP, LEAST_STRIDE = 0.6, 0.5, 32
 #: Items of one index; more are searched part by part, with the statistics of all.
 PART = 20_000
