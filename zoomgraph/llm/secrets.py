@@ -43,7 +43,7 @@ FOUND = [
     "[0-9a-f]{32}",
     "gh[pousr]_[A-Za-z0-9]{2}",
     "xox[abprs]-[A-Za-z0-9-]{2}",
-    "eyJ[A-Za-z0-9_-]{2}",
+    "eyJ[A-Za-z0-9_-]",
     "PRIVATE KEY-----",
 ]
 BASE = ("assign", "access", "hex")
