@@ -7,7 +7,8 @@
    longer by shares(n), have shares(n) shingles in common. The prefixes meet in hash buckets, where a common
    shingle must also pass the length bound and the bound on what can come before and after it. A short list
    of holders counts for all its pairs; a long one for each holder and its first, and for itself. A pair
-   with half the shares is a candidate, a document with half of them in long lists stays in play.
+   with half the shares is a candidate, a document with half of them in long lists stays in play. Only a
+   document's two best candidates are verified now; the others stay in play for step 4.
 3. Verification: around each first member ("centre") its candidates' ordered sets are stored in a prefix
    tree, which the centre's set walks: shared beginnings are counted once, and a subtree is left when the
    remaining lengths can no longer reach the threshold.
@@ -33,8 +34,9 @@ from .textkit import bucket_bits, groups, mix, pack7, pieces, unpack7, windows,
 LOW = -(2**63)
 N = 5
 #: Shingles that a task gathers before it reduces them; the length of the list of frequent ones; the
-#: longest list whose pairs are all candidates at once; candidates of one centre verified together.
-FLUSH, FREQUENT, SHORT, TOGETHER = 1 << 21, 1 << 16, 8, 512
+#: longest list whose pairs are all candidates at once; candidates of one centre verified together; partners
+#: of a set in round 1.
+FLUSH, FREQUENT, SHORT, TOGETHER, TOP = 1 << 21, 1 << 16, 8, 512, 2
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,15 @@ def _elected(labelled: bool):
         col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
         a, b, n, votes = _tally(col("a", np.int64), col("b", np.int64), col("n", np.int32), col("votes", np.int32).astype(np.int64))
         ok = votes >= (shares(n) if labelled else (shares(n) + 1) // 2)
-        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+        a, b, votes = a[ok], b[ok], votes[ok]
+        if not labelled:  # each set with its best partners; whoever else was paired stays in play
+            order = np.lexsort((a, -votes, b, a == b))
+            a, b = a[order], b[order]
+            s, e = groups(b)
+            best = (np.arange(len(b)) - np.repeat(s, e - s) < TOP) & (a != b)
+            rest = np.setdiff1d(np.r_[a, b], np.r_[a[best], b[best]])
+            a, b = np.r_[a[best], rest], np.r_[b[best], rest]
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -222,7 +232,7 @@ def _candidates(labelled: bool, parts: int):
                 j = np.arange(x, y)
                 i = np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x
                 pairs(i[i < j], j[i < j])
-                found.append((ids[j], ids[j], n[j]))
+                found.append((ids[j], ids[j], (4 * n[j] + 4) // 5))  # by the smallest partner it can have
         a, b, k = (np.concatenate(c) for c in zip(*found, strict=True))
         a, b, k, votes = _tally(a, b, k, np.ones(len(a), np.int64))
         g = (mix(b.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
