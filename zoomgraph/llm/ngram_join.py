@@ -6,15 +6,17 @@
 2. Candidates: sets of n shingles or more can reach the threshold only if their prefixes in that order,
    longer by shares(n), have shares(n) shingles in common. The prefixes meet in hash buckets, where a common
    shingle must also pass the length bound and the bound on what can come before and after it. A short list
-   of holders counts for all its pairs; a long one for each holder and its first, and for itself. A pair
-   with half the shares is a candidate, a document with half of them in long lists stays in play. Only a
-   document's two best candidates are verified now; the others stay in play for step 4.
+   of holders counts for all its pairs; a long one for each holder with a few pivots, and for itself. A pair
+   with half the shares is a candidate, a document with half of them in long lists is hot and stays in play.
+   Only a document's two best candidates are verified now; the others stay in play for step 5.
 3. Verification: around each first member ("centre") its candidates' ordered sets are stored in a prefix
    tree, which the centre's set walks: shared beginnings are counted once, and a subtree is left when the
    remaining lengths can no longer reach the threshold.
-4. Components of the links found so far label the documents. Then the prefixes of the documents in play
-   meet once more, and every pair of holders of unlike labels is a candidate, so no link between components
-   is lost and none inside one is repeated.
+4. Components of the links found so far label the documents. Hot documents meet again with other pivots,
+   taken from the most common label of a list, so that a large group of near copies grows together with
+   a few candidates for each of its documents.
+5. At last the prefixes of all documents in play meet once more, and every pair of holders of unlike labels
+   is a candidate, so no link between components is lost and none inside one is repeated.
 
 Only documents in play, those with a candidate, are read again after step 2."""
 
@@ -35,8 +37,8 @@ LOW = -(2**63)
 N = 5
 #: Shingles that a task gathers before it reduces them; the length of the list of frequent ones; the
 #: longest list whose pairs are all candidates at once; candidates of one centre verified together; partners
-#: of a set in round 1.
-FLUSH, FREQUENT, SHORT, TOGETHER, TOP = 1 << 21, 1 << 16, 8, 512, 2
+#: of a set in a round with pivots; pivots of a long list; rounds with pivots after the first.
+FLUSH, FREQUENT, SHORT, TOGETHER, TOP, PIVOTS, ROUNDS = 1 << 21, 1 << 16, 8, 512, 2, 6, 3
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,28 +174,38 @@ def _tally(a, b, n, votes):
 PAIRS = "grp int, a binary, b binary, n binary, votes binary"
 
 
-def _elected(labelled: bool):
-    """Of one group of larger sets: the pairs, and documents paired with themselves, that have enough votes."""
+def _elected(every: bool):
+    """Of one group of asking sets: the pairs with enough votes, all or each set's best; and who stays in play.
+
+    Rows of a document with itself: hot if long lists hold it, else it has partners that are not tried yet."""
 
     def run(t: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
         a, b, n, votes = _tally(col("a", np.int64), col("b", np.int64), col("n", np.int32), col("votes", np.int32).astype(np.int64))
-        ok = votes >= (shares(n) if labelled else (shares(n) + 1) // 2)
+        ok = votes >= (shares(n) if every else (shares(n) + 1) // 2)
         a, b, votes = a[ok], b[ok], votes[ok]
-        if not labelled:  # each set with its best partners; whoever else was paired stays in play
+        hot = np.zeros(len(a), bool)
+        if not every:
+            warm = np.unique(a[a == b])
             order = np.lexsort((a, -votes, b, a == b))
             a, b = a[order], b[order]
-            s, e = groups(b)
-            best = (np.arange(len(b)) - np.repeat(s, e - s) < TOP) & (a != b)
-            rest = np.setdiff1d(np.r_[a, b], np.r_[a[best], b[best]])
-            a, b = np.r_[a[best], rest], np.r_[b[best], rest]
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+            own = a == b
+            s, e = groups(np.where(own, LOW, b))
+            best = (np.arange(len(b)) - np.repeat(s, e - s) < TOP) & ~own
+            rest = np.setdiff1d(np.r_[a, b], np.r_[a[best], b[best], warm])
+            a, b = np.r_[a[best], rest, warm], np.r_[b[best], rest, warm]
+            hot = np.arange(len(a)) >= len(a) - len(warm)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "hot": pa.array(hot)})
 
     return run
 
 
-def _candidates(labelled: bool, parts: int):
-    """Votes of one bucket of prefix shingles for pairs (the smaller set first), packed by the larger's group."""
+def _candidates(labelled: bool, every: bool, seed: int, parts: int):
+    """Votes of one bucket of prefix shingles for pairs (the asking set last), packed by the asking set's group.
+
+    Lists of up to SHORT holders, or all with ``every``, give every pair, the larger set asking. In a longer
+    one each holder asks the PIVOTS least by hashes of their ids; with labels, the pivots are of the most
+    common label and the holders of others ask."""
 
     def run(t: pa.Table) -> pa.Table:
         col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
@@ -205,14 +217,15 @@ def _candidates(labelled: bool, parts: int):
         s, e = groups(h)
         found = [(np.zeros(0, np.int64),) * 3]
 
-        def pairs(i, j):
-            """i before j, so n[i] <= n[j]: length bound, indexed prefix of the smaller, what else can be common."""
+        def pairs(one, asker):
+            """Length bound, indexed prefix of the smaller (the earlier), what else can be common."""
+            i, j = np.minimum(one, asker), np.maximum(one, asker)
             ok = (5 * n[i] >= 4 * n[j]) & (ids[i] != ids[j])
             ok &= at[i] < n[i] - (8 * n[i] + 8) // 9 + shares(n[i])
             ok &= np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j])
             if labelled:
                 ok &= comps[i] != comps[j]
-            found.append((ids[i[ok]], ids[j[ok]], n[i[ok]]))
+            found.append((ids[one[ok]], ids[asker[ok]], n[i[ok]]))
 
         size = e - s
         for m in range(2, SHORT + 1):
@@ -222,17 +235,25 @@ def _candidates(labelled: bool, parts: int):
                     if len(at_m):
                         pairs(at_m + x, at_m + y)
         for x, y in zip(s[size > SHORT], e[size > SHORT], strict=True):
-            if labelled:  # every pair of unlike labels, from the side of the less common labels
+            if labelled:
                 names, which, count = np.unique(comps[x:y], return_inverse=True, return_counts=True)
                 most = np.argmax(count)
+            if every:  # every pair of unlike labels, from the side of the less common labels
                 for i in np.flatnonzero(which != most) + x:
                     j = np.r_[np.arange(i + 1, y), x + np.flatnonzero(which[: i - x] == most)]
                     pairs(np.minimum(i, j), np.maximum(i, j))
-            else:  # each holder with the first that is not too small for it, and with itself
+            else:
                 j = np.arange(x, y)
-                i = np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x
-                pairs(i[i < j], j[i < j])
-                found.append((ids[j], ids[j], (4 * n[j] + 4) // 5))  # by the smallest partner it can have
+                of, asking = (j[which == most], j[which != most]) if labelled else (j, j)
+                order = mix(ids[of].view(np.uint64) ^ np.uint64(seed))
+                pivots = of[np.argpartition(order, PIVOTS - 1)[:PIVOTS]] if len(of) > PIVOTS else of
+                for i in pivots:
+                    pairs(np.full(len(asking), i), asking)
+                if not labelled:  # and the first that is not too small; each holder with itself
+                    i = np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x
+                    new = (i < j) & ~np.isin(i, pivots)
+                    pairs(i[new], j[new])
+                    found.append((ids[j], ids[j], (4 * n[j] + 4) // 5))  # by the smallest partner it can have
         a, b, k = (np.concatenate(c) for c in zip(*found, strict=True))
         a, b, k, votes = _tally(a, b, k, np.ones(len(a), np.int64))
         g = (mix(b.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
@@ -317,8 +338,7 @@ def _verify(frequent_):
 
 
 def _links(pairs: DataFrame, live: DataFrame, frequent_) -> DataFrame:
-    """The pairs(a, b) that are links. A centre with many candidates is dealt over groups of TOGETHER."""
-    pairs = cut(pairs)
+    """The pairs (a, b) that are links. A centre with many candidates is dealt over groups of TOGETHER."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("k"))
     asked = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"), F.col("b").alias("id"))
     centres = size.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part")).withColumn("id", F.col("a"))
@@ -345,24 +365,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal = classed.where("n > 0").select("doc_id", "class_id").distinct()
     last = spark.sparkContext.broadcast(frequent(stats))
 
-    def candidates(d: DataFrame, labelled: bool) -> DataFrame:
+    def candidates(d: DataFrame, labelled: bool, every: bool, seed: int) -> DataFrame:
         sent = d.mapInArrow(_prefixes(bits, last, labelled), PREFIX)
-        packed = sent.groupBy("bucket").applyInArrow(_candidates(labelled, parts), PAIRS)
-        return packed.groupBy("grp").applyInArrow(_elected(labelled), "a long, b long")
+        packed = sent.groupBy("bucket").applyInArrow(_candidates(labelled, every, seed, parts), PAIRS)
+        return packed.groupBy("grp").applyInArrow(_elected(every), "a long, b long, hot boolean")
 
     # round 1; copies stand for their class from here on
-    found = cut(candidates(texts, False))
+    found = cut(candidates(texts, False, False, 0))
     named = found.join(equal.select(F.col("doc_id").alias("a"), F.col("class_id").alias("ca")), "a").join(equal.select(F.col("doc_id").alias("b"), F.col("class_id").alias("cb")), "b")
-    named = cut(named.where("ca <> cb or a = b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    pairs = named.where("a <> b")
+    named = cut(named.where("ca <> cb or a = b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.max("hot").alias("hot")))
+    pairs = cut(named.where("a <> b").select("a", "b"))
     ids = named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     live = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW))).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     live = cut(live)
     links = cut(_links(pairs, live, last))
-    label = cut(components(links).withColumnRenamed("id", "doc_id"))
-    # round 2: only pairs of unlike labels
-    labelled = live.join(label, "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"))
-    more = cut(candidates(labelled, True).join(pairs, ["a", "b"], "left_anti"))
+
+    def label(of: DataFrame) -> DataFrame:
+        found = cut(components(links).withColumnRenamed("id", "doc_id"))
+        return of.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"))
+
+    def untried(d: DataFrame) -> DataFrame:
+        return d.where("a <> b").select("a", "b").join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti")
+
+    hot = cut(live.join(named.where("a = b and hot").select(F.col("a").alias("doc_id")), "doc_id", "left_semi"))
+    for seed in range(1, ROUNDS + 1):
+        more = cut(untried(candidates(label(hot), True, False, seed)))
+        new = cut(_links(more, hot, last))
+        pairs, links = pairs.union(more), links.union(new)
+        if new.isEmpty():
+            break
+    more = cut(untried(candidates(label(live), True, True, 0)))
     links = links.union(_links(more, live, last))
     final = components(links.union(equal.where("doc_id <> class_id").toDF("a", "b"))).withColumnRenamed("id", "doc_id")
     out = classed.join(final, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
