@@ -166,6 +166,20 @@ def test_mix_comes_near_targets(spark):
         assert target[s] - 90 <= taken[s] <= target[s] + 1e-6
 
 
+def test_mix_draws_by_size(spark):
+    sizes = [5] * 600 + [20] * 600 + [5_000] + [64, 40, 35, 30, 14, 9, 6, 4, 3, 2, 1] * 3
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "a" if i <= 1200 else "b") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.pareto_mix(docs).collect()
+    for s in "ab":
+        rows = [r for r in got if r["source"] == s]
+        base = int(rows[0]["target"] // rows[0]["source_size"])
+        left = rows[0]["target"] - sum(r["taken"] for r in rows)
+        assert 0 <= left < min(r["size"] for r in rows if r["copies"] == base)  # nothing fits any more
+        if s == "a":  # the long text is certain, the others are drawn about four to one
+            n = Counter(r["size"] for r in rows if r["copies"] > base)
+            assert n[5_000] == 1 and 2.5 < n[20] / n[5] < 6
+
+
 def test_secrets_match_expressions(spark):
     rng = np.random.default_rng(3)
     bits = ["password", "token", "API_key", "secret ", "=", ":", " ", '"', "abcd", "0123456789abcdef", "deadbeef" * 4, "AKIA", "ABCDEFGH1234", "x", "\n", "ü", "eyJa.b.c", "ghp_" + "a1" * 20]

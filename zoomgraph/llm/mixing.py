@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every document first gets the whole copies that are certain (the integer part of target over source
-size). What then remains of a source's target is a fixed-size sample: documents are ranked by Pareto's
-ratio, random odds over inclusion odds, and taken in that order while the remaining words last. Where a
-document is too large for what remains, later passes rank those that still fit."""
+size). What then remains of a source's target is sampled with probabilities proportional to size: documents
+are ranked by Pareto's ratio, random odds over the inclusion odds of their own, those that are certain first,
+and taken in that order while the remaining words last. Where a document is too large for what remains,
+further passes go on with those that still fit, until none does."""
 
 from __future__ import annotations
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, join_small, table, without
 
 OUT = ("size", "source_size", "target", "taken", "copies")
+RANKED = ("key", "doc_id", "size", "words", "v")
 BINS = 1024
-PASSES = 3
 
 
 def uniform(seed: int):
@@ -40,8 +41,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return w.withColumn("level", first["level"]).select("key", "source", "source_size", F.least("top", F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"))
 
 
+def _factors(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """Of rows(key, size, words) and left(key, room): (key, factor, open_size). Sizes above open_size are certain, others have
+    probability factor * size; the expected words are room. open_size is 0 where all are certain. Windows see one row for each size that a source has."""
+    down = Window.partitionBy("key").orderBy(F.desc("size"))
+    s = rows.groupBy("key", "size").agg(F.sum("words").alias("words")).withColumn("squares", F.col("words").cast("double") * F.col("size"))
+    s = s.withColumn("above", F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    s = s.withColumn("rest", F.sum("squares").over(down.rowsBetween(0, Window.unboundedFollowing)))
+    s = join_small(s, left, "key", F.col("size")).withColumn("factor", (F.col("room") - F.col("above")) / F.col("rest"))
+    # the largest size that is not certain once all larger ones are
+    first = F.max(F.when(F.col("factor") * F.col("size") < 1, F.struct("size", "factor")))
+    return s.groupBy("key").agg(first.alias("z")).select("key", F.col("z.factor").alias("factor"), F.coalesce(F.col("z.size"), F.lit(0)).alias("open_size"))
+
+
 def _prefix(rows: DataFrame, left: DataFrame) -> DataFrame:
-    """Of rows(key, doc_id, size, v), those that come first by (v, doc_id, size) while left(key, room) lasts.
+    """Of rows(key, doc_id, size, words, v), those that come first by (v, doc_id, size) while left(key, room) lasts.
 
     Sums by source and bin find the bin in which a source's room ends, then the part of that bin; only
     the rows of that part are ranked one by one, so no source's rows meet in one task."""
@@ -50,7 +64,7 @@ def _prefix(rows: DataFrame, left: DataFrame) -> DataFrame:
 
     def edge(x: DataFrame, b: str, room: DataFrame) -> DataFrame:
         """The first bin that does not fit whole, and the room at its start."""
-        s = join_small(x.groupBy("key", b).agg(F.sum("size").alias("s")).withColumn("c", F.sum("s").over(upto(b))), room, "key", F.col(b))
+        s = join_small(x.groupBy("key", b).agg(F.sum("words").alias("s")).withColumn("c", F.sum("s").over(upto(b))), room, "key", F.col(b))
         return s.where("c > room").groupBy("key").agg(F.min_by(F.struct(F.col(b).alias("e"), (F.col("room") - F.col("c") + F.col("s")).alias("room")), F.col(b)).alias("z")).select("key", F.col("z.e").alias(b + "_edge"), F.col("z.room").alias("room"))
 
     e1 = cut(edge(d, "b1", left))
@@ -60,8 +74,8 @@ def _prefix(rows: DataFrame, left: DataFrame) -> DataFrame:
     m = join_small(d, marks, "key", F.col("doc_id"))
     whole = m.where("b1_edge is null or b1 < b1_edge or (b1 = b1_edge and (b2_edge is null or b2 < b2_edge))")
     order = Window.partitionBy("key").orderBy("v", "doc_id", "size")
-    last = m.where("b1 = b1_edge and b2 = b2_edge").withColumn("c", F.sum("size").over(order))
-    return whole.select("key", "doc_id", "size", "v").union(last.where("c <= room2").select("key", "doc_id", "size", "v"))
+    last = m.where("b1 = b1_edge and b2 = b2_edge").withColumn("c", F.sum("words").over(order))
+    return whole.select(*RANKED).union(last.where("c <= room2").select(*RANKED))
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 8) -> DataFrame:
@@ -77,19 +91,21 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     goal = cut(targets(bones.groupBy("key", "source").agg(F.sum("size").alias("source_size"))))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = cut(goal.withColumn("base", F.floor(ratio).cast("long")).withColumn("room", F.col("target") - F.floor(ratio) * F.col("source_size")))
-    # Pareto's ratio is u/(1-u) over p/(1-p), p the share of the source that is still wanted; v rises with it.
-    odds = join_small(bones, goal.select("key", "source_size", "room"), "key", F.col("doc_id")).where("size > 0 and room >= 1 and size <= room")
-    u, p = uniform(seed), F.col("room") / F.col("source_size")
+    room = goal.select("key", "room")
+    once = bones.where("size > 0").groupBy("key", "doc_id", "size").agg(F.sum("size").alias("words"))
+    odds = cut(join_small(once, room, "key", F.col("doc_id")).where("room >= 1 and words <= room").drop("room"))
+    odds = join_small(odds, cut(_factors(odds, room)), "key", F.col("doc_id"))
+    # Pareto's ratio is u/(1-u) over p/(1-p); v rises with it from 1/2 on, certain documents lie below.
+    u, p = uniform(seed), F.col("factor") * F.col("size")
     q = (u / (1 - u)) / (p / (1 - p))
-    scale = p / (1 - p)
-    ranked = cut(odds.withColumn("v", (q * scale) / (1 + q * scale)).select("key", "doc_id", "size", "v"))
-    room, taken = goal.select("key", "room"), None
-    for _ in range(PASSES):
-        new = cut(_prefix(ranked, room).distinct())
-        taken = new if taken is None else taken.union(new)
-        used = ranked.join(new, ["key", "doc_id", "size", "v"], "left_semi").groupBy("key").agg(F.sum("size").alias("used"))
+    ranked = cut(odds.withColumn("v", F.when(F.col("size") > F.col("open_size"), u / 2).otherwise(0.5 + q / (1 + q) / 2)).select(*RANKED))
+    taken = ranked.limit(0)
+    while ranked.limit(1).count():  # of each source that is left, the first document at least is taken
+        new = cut(_prefix(ranked, room))
+        taken = taken.union(new)
+        used = new.groupBy("key").agg(F.sum("words").alias("used"))
         room = cut(room.join(used, "key", "left").select("key", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("room >= 1"))
-        rest = join_small(ranked.join(taken, ["key", "doc_id", "size", "v"], "left_anti"), room, "key", F.col("doc_id")).where("size <= room").select("key", "doc_id", "size", "v")
+        rest = join_small(ranked.join(new, ["key", "doc_id", "size"], "left_anti"), room, "key", F.col("doc_id")).where("words <= room").select(*RANKED)
         ranked = cut(rest)
     hits = taken.select("key", F.col("doc_id").alias("__id"), "size").distinct().withColumn("hit", F.lit(1))
     out = join_small(doc, goal.select("key", "source_size", "target", "base"), "key", F.col("__id"))
