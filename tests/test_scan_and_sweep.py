@@ -3,7 +3,10 @@ import math
 import numpy as np
 import pytest
 
+from zoomgraph.functions import arrays
 from zoomgraph.operators import embed, hierarchy, metrics, scan, sweep, synth
+from zoomgraph.plans import scans
+from zoomgraph.sources.records import ball_points
 
 
 def test_find_peaks():
@@ -108,3 +111,17 @@ def test_ball_gradient_and_embedding():
     p = embed.mds(15, a, b, 3, 200, 0.05, 0, "poincare")
     assert (np.linalg.norm(p, axis=1) < 1).all()
     np.testing.assert_array_equal(p, embed.mds(15, a, b, 3, 200, 0.05, 0, "poincare"))
+
+
+def test_scans_of_points_cover_the_table(spark, tmp_path):
+    x = np.random.default_rng(3).standard_normal((230, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = np.array([r["x"] for r in ball_points(spark, tmp_path).orderBy("node_id").collect()])
+    d = arrays.distances(p, p, "poincare")
+    np.fill_diagonal(d, 0)
+    near = [set(np.argsort(row, kind="stable")[:10]) for row in d]
+    v = {r["sigma_idx"]: r["v"] for r in scans.velocity(spark, tmp_path).collect()}
+    c = {r["sigma_idx"]: r["c"] for r in scans.churn(spark, tmp_path).collect()}
+    assert v == pytest.approx({i: d[i, i + 1] / (2 * i + 1) for i in range(229)}, abs=1e-5)
+    assert c == pytest.approx({i: 1 - len(near[i] & near[i + 1]) / len(near[i] | near[i + 1]) for i in range(229)}, abs=1e-5)

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import frechet, hierarchy, scan
+from ..operators import frechet, hierarchy, knn, scan
 from ..operators.spectral import logspace
 from ..sources.records import ball_points, table, trade_hierarchy
 from .geometry import DIST, POINTS, _r
 from .graphs import tree_eigen
 
 
-def _phi(spark, sf_dir, n):
-    """The first points as the summaries of one focus, their ids as scales."""
-    p = ball_points(spark, sf_dir).where(F.col("node_id") < n)
+def _phi(spark, sf_dir):
+    """All points as the summaries of one focus, their ids as scales."""
+    p = ball_points(spark, sf_dir)
     return p.select(F.lit(0).cast("long").alias("focus"), F.col("node_id").cast("int").alias("sigma_idx"), (F.col("node_id") * F.col("node_id") + 1).cast("double").alias("sigma"), "x")
 
 
 def velocity(spark, sf_dir):
-    return scan.velocity(_phi(spark, sf_dir, 200)).select("sigma_idx", _r(F.col("v")).alias("v"))
+    return scan.velocity(_phi(spark, sf_dir)).select("sigma_idx", _r(F.col("v")).alias("v"))
 
 
 def churn(spark, sf_dir):
-    return scan.churn(_phi(spark, sf_dir, 20), ball_points(spark, sf_dir)).select("sigma_idx", _r(F.col("c")).alias("c"))
+    """Each point is a summary, so its nearest points are its neighbours in the kNN graph and itself."""
+    p = ball_points(spark, sf_dir)
+    d = knn.knn(p, 10).select("i", "j", "d").union(p.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0.0).alias("d")))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    near = d.withColumn("r", rank).where("r <= 10").groupBy(F.lit(0).cast("long").alias("focus"), F.col("i").cast("int").alias("sigma_idx")).agg(F.sort_array(F.collect_list("j")).alias("near"))
+    return scan.set_churn(near).select("sigma_idx", _r(F.col("c")).alias("c"))
 
 
 def profile(spark, sf_dir):
