@@ -125,3 +125,21 @@ def test_scans_of_points_cover_the_table(spark, tmp_path):
     c = {r["sigma_idx"]: r["c"] for r in scans.churn(spark, tmp_path).collect()}
     assert v == pytest.approx({i: d[i, i + 1] / (2 * i + 1) for i in range(229)}, abs=1e-5)
     assert c == pytest.approx({i: 1 - len(near[i] & near[i + 1]) / len(near[i] | near[i + 1]) for i in range(229)}, abs=1e-5)
+
+
+@pytest.mark.parametrize("query", [scans.boundary_scan_tree, scans.best_peaks])
+def test_stratified_leaves_are_scanned(spark, monkeypatch, query):
+    hier = spark.createDataFrame([(1, 0), (2, 1)] + [(i, i % 3) for i in range(10, 140)], "child long, parent long")
+    seen = []
+
+    def stop(points, vals, vecs, foci, grid):
+        seen.extend(r["focus"] for r in foci.collect())
+        raise InterruptedError
+
+    monkeypatch.setattr(scans, "trade_hierarchy", lambda *_: hier)
+    monkeypatch.setattr(scans, "tree_eigen", lambda *_: (None, None))
+    monkeypatch.setattr(scans, "tree_points", lambda *_: None)
+    monkeypatch.setattr(scan, "boundary_scan", stop)
+    with pytest.raises(InterruptedError):
+        query(spark, "")
+    assert len(set(seen)) == len(seen) == 100 and {i % 3 for i in seen} == {0, 1, 2}

@@ -84,18 +84,22 @@ def tree_points(spark, sf_dir):
     return d.select("node_id", "depth", F.array(r * F.cos(2 * F.pi() * u), r * F.sin(2 * F.pi() * u)).alias("x"))
 
 
+def tree_foci(hier, n=100):
+    """(focus): the leaves that the reference scans, n stratified by depth."""
+    d = hierarchy.leaves(hier).join(hierarchy.depths(hier), "node_id")
+    return hierarchy.stratified_leaves(d, n).select(F.col("node_id").alias("focus"))
+
+
 def boundary_scan_tree(spark, sf_dir):
-    h = trade_hierarchy(spark, sf_dir)
     vals, vecs = tree_eigen(spark, sf_dir, 26)
-    foci = hierarchy.leaves(h).orderBy(hierarchy.uniform("node_id"), "node_id").limit(4).withColumnRenamed("node_id", "focus")
+    foci = tree_foci(trade_hierarchy(spark, sf_dir))
     out = scan.boundary_scan(tree_points(spark, sf_dir), vals, vecs, foci, logspace(spark, -2, 4, 60))["scan"]
     return out.select("focus", "sigma_idx", _r(F.col("sigma")).alias("sigma"), _r(F.col("s")).alias("s"), "is_peak", "k_star")
 
 
 def best_peaks(spark, sf_dir):
-    h = trade_hierarchy(spark, sf_dir)
     vals, vecs = tree_eigen(spark, sf_dir, 26)
-    foci = hierarchy.leaves(h).orderBy(hierarchy.uniform("node_id"), "node_id").limit(4).withColumnRenamed("node_id", "focus")
+    foci = tree_foci(trade_hierarchy(spark, sf_dir))
     out = scan.boundary_scan(tree_points(spark, sf_dir), vals, vecs, foci, logspace(spark, -2, 4, 60))["scan"]
     return scan.best_peak(out).select("focus", _r(F.col("sigma")).alias("sigma"), "k_star")
 
