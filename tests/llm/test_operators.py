@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zoomgraph.llm import decontaminate, fingerprint, language, lm, mixing, ngram_join, secrets, sharding, substrings, token_counts
 from zoomgraph.llm.automaton import Automaton
@@ -77,6 +78,15 @@ def test_fingerprint(spark, corpus):
     assert got[0]["fingerprint"] != got[4]["fingerprint"]
 
 
+def test_fingerprint_uses_the_whole_band(spark):
+    n = 9_000  # terms, each in two texts
+    texts = [" ".join(f"t{j}" for j in range(k, n, 10)) for k in range(10)] * 2
+    words = fingerprint.lexicon(made(spark, texts))
+    codes = spark.range(n).select(F.xxhash64(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("h"))
+    assert codes.where(fingerprint._known(words)(F.col("h"))).count() == n
+    assert codes.where(fingerprint._known(words)(F.col("h") + 1)).count() == 0
+
+
 def brute_components(t):
     sets = {}
     for d, x in t.items():

@@ -4,8 +4,9 @@ Document frequencies over the whole corpus give each term's inverse document fre
 band form the lexicon; random parts of it, down to small ones, are the further lexicons. A document's
 terms in each lexicon are made distinct, sorted and hashed; the hashes together are its fingerprint.
 
-The lexicon is bounded by a parameter: where the band holds more than ``max_terms`` terms, its upper
-limit is lowered until it fits, so that it can be a constant of the plan at any size of the corpus."""
+The whole band is the lexicon. As each of its terms is in a share ``least`` of the documents, it has at most
+1 / ``least`` times as many terms as a document has on average, at any size of the corpus, and is a constant
+of the plan."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Slots of each half of the lexicon's hash table; families of random lexicons and, in each, the shares
+#: Least slots of each half of the lexicon's hash table; families of random lexicons and, in each, the shares
 #: of the full lexicon (of 64) that are nested in it. A family looks at bits of its own in a term's code.
 SLOTS, FAMILIES, SHARES = 2**14, 4, (32, 8, 2)
 LOW = -(2**63)
@@ -29,7 +30,7 @@ def codes(text: Column) -> Column:
     return F.transform(terms(text), lambda t: F.xxhash64(t))
 
 
-def lexicon(texts: DataFrame, most: float = 0.02, least: float = 0.002, max_terms: int = 8192) -> tuple[Column, Column]:
+def lexicon(texts: DataFrame, most: float = 0.02, least: float = 0.002) -> tuple[Column, Column]:
     """The terms whose document frequency is at least ``least`` and at most ``most`` of all documents.
 
     It comes as a constant two-choice hash table of the terms' 64-bit codes. On small corpora a term
@@ -37,36 +38,44 @@ def lexicon(texts: DataFrame, most: float = 0.02, least: float = 0.002, max_term
     n = texts.count()
     df = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2, least * n)) & (F.col("df") <= max(2, most * n)) & (F.col("t") != ""))
-    top = band.orderBy(F.desc("df"), "t").limit(max_terms + 1).select("df", F.xxhash64("t").alias("code")).collect()
-    if len(top) > max_terms:  # narrower, without parting terms of one frequency
-        top = [r for r in top if r["df"] > top[-1]["df"]] or top[:max_terms]
+    top = band.select(F.xxhash64("t").alias("code")).collect()
     return _table(sorted({r["code"] for r in top}))
 
 
-def _places(code: int) -> tuple[int, int]:
-    return code % SLOTS, (code >> 20) % SLOTS
+def _places(code: int, slots: int) -> tuple[int, int]:
+    return code % slots, (code >> 20) % slots
 
 
-def _table(found: list[int]) -> tuple[Column, Column]:
+def _halves(found: list[int], slots: int) -> tuple[dict, dict] | None:
     """Each code is in the first half at its first place or in the second half at its second place.
 
-    Codes that find no place after many moves are left out of the lexicon; at half load that is rare."""
+    None where a code finds no place after many moves."""
     half: tuple[dict, dict] = ({}, {})
     for code in found:
         side = 0
         for _ in range(200):
-            at = _places(code)[side]
+            at = _places(code, slots)[side]
             code, half[side][at] = half[side].get(at), code
             if code is None:
                 break
             side = 1 - side
-    text = [" ".join(str(h.get(i, 0)) for i in range(SLOTS)) for h in half]
+        else:
+            return None
+    return half
+
+
+def _table(found: list[int]) -> tuple[Column, Column]:
+    """The halves of a table with twice as many slots, or more, as there are codes, in which all have a place."""
+    slots = SLOTS
+    while slots < 2 * len(found) or not (half := _halves(found, slots)):
+        slots *= 2
+    text = [" ".join(str(h.get(i, 0)) for i in range(slots)) for h in half]
     return tuple(F.split(F.lit(t), " ").cast("array<bigint>") for t in text)
 
 
 def _known(words: tuple[Column, Column]):
     a, b = words
-    mask = F.lit(SLOTS - 1).cast("long")
+    mask = (F.size(a) - 1).cast("long")
     return lambda h: (F.element_at(a, (h.bitwiseAND(mask) + 1).cast("int")) == h) | (F.element_at(b, (F.shiftright(h, 20).bitwiseAND(mask) + 1).cast("int")) == h)
 
 
