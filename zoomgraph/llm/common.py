@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: maximal runs without ASCII white space.
@@ -17,10 +17,13 @@ SALTS = 64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (tests)."""
+    """The shared folder that the session names. Where none is set, a temporary one serves a local session; on a
+    cluster that is an error, as executors could not read it."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="zoomgraph-"))
         at = sc.getCheckpointDir()
     return at
@@ -34,14 +37,32 @@ def _remove(jvm, conf, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: short lineage, and nothing is lost with an executor."""
+def cut(df: DataFrame, *measures: Column) -> DataFrame:
+    """Write df to the shared folder and read it back: short lineage, and nothing is lost with an executor.
+
+    ``measures`` are aggregates of df that are taken on the way; they come as ``measured`` of the result."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/zg-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation() if measures else None
+    (df.observe(seen, *measures) if measures else df).write.option("compression", "zstd").parquet(path)
     sc = spark.sparkContext
     atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch, out.measured = path, seen.get if measures else None
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Free scratch tables of ``cut`` that nothing will read again."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), t.scratch)
+
+
+def private(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` by their names, and all of docs in one struct ``row``, so that no name of docs can clash with one that
+    an operator uses. ``row.*`` gives docs back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
 def join_small(rows: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:

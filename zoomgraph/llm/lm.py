@@ -253,7 +253,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     beyond the frequent list add (of equal texts, what each adds). With nothing to learn
     from every count is 0. Empty input gives an empty result; further columns are not carried."""
     spark = docs.sparkSession
-    bits = bucket_bits(spark)
+    bits = bucket_bits(1 << 25)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(10, 0)).alias("train"))
     counted = texts.mapInArrow(_count(bits), "bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(_merge(bits), "bucket int, grams binary, counts binary, top binary, top_c binary, n long, v long")
     counted = cut(counted)

@@ -4,21 +4,24 @@
    repeat within a task are counted, and the most frequent of the corpus (a bounded list) come last in the
    global order of shingles. The list only orders: any order gives the same links.
 2. Candidates: sets of n shingles or more can reach the threshold only if their prefixes in that order,
-   longer by shares(n), have shares(n) shingles in common. The prefixes meet in hash buckets, where a common
-   shingle must also pass the length bound and the bound on what can come before and after it. A short list
-   of holders counts for all its pairs; a long one for each holder with a few pivots, and for itself. A pair
-   with half the shares is a candidate, a document with half of them in long lists is hot and stays in play.
-   Only a document's two best candidates are verified now; the others stay in play for step 5.
+   longer by shares(n), have shares(n) shingles in common. The prefixes go by signature, so that copies are
+   one already where they are read, and meet in hash buckets, where a common shingle must also pass the
+   length bound and the bound on what can come before and after it. A short list of holders counts for all
+   its pairs; a long one for each holder with a few pivots, and for itself. A pair with half the shares is a
+   candidate, a document with half of them in long lists is hot and stays in play. Only a document's two best
+   candidates are verified now; the others stay in play for step 5.
 3. Verification: around each first member ("centre") its candidates' ordered sets are stored in a prefix
    tree, which the centre's set walks: shared beginnings are counted once, and a subtree is left when the
    remaining lengths can no longer reach the threshold.
 4. Components of the links found so far label the documents. Hot documents meet again with other pivots,
    taken from the most common label of a list, so that a large group of near copies grows together with
    a few candidates for each of its documents.
-5. At last the prefixes of all documents in play meet once more, and every pair of holders of unlike labels
-   is a candidate, so no link between components is lost and none inside one is repeated.
+5. At last the prefixes of all documents in play meet once more. A document asks each larger component with which
+   it has enough prefix shingles in common, whichever members hold them; the component's sets are stored
+   in prefix trees, block by block, and every document that asks walks them. So no link between components
+   is lost, none inside one is repeated, and rows are documents and components, not pairs of documents.
 
-Only documents in play, those with a candidate, are read again after step 2."""
+Only one document of each class in play, that is with a candidate, is read again after step 2."""
 
 from __future__ import annotations
 
@@ -29,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 from .components import components
 from .textkit import bucket_bits, groups, mix, pack7, pieces, unpack7, windows, words
 
 LOW = -(2**63)
 N = 5
-#: Shingles that a task gathers before it reduces them; the length of the list of frequent ones; the
-#: longest list whose pairs are all candidates at once; candidates of one centre verified together; partners
-#: of a set in a round with pivots; pivots of a long list; rounds with pivots after the first.
-FLUSH, FREQUENT, SHORT, TOGETHER, TOP, PIVOTS, ROUNDS = 1 << 21, 1 << 16, 8, 512, 2, 6, 3
+#: Shingles that a task gathers before it reduces them; the length of the list of frequent ones; the longest list
+#: whose pairs are all candidates at once; candidates of one centre, or sets of one tree, verified together; shingles
+#: of one tree; partners of a set in a round with pivots; pivots of a long list.
+FLUSH, FREQUENT, SHORT, TOGETHER, TREE, TOP, PIVOTS = 1 << 21, 1 << 16, 8, 512, 1 << 20, 2, 6
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +72,13 @@ def _batches(batches, *columns):
             yield (ids[lo:hi], *[r[lo:hi] for r in rest]), *shingles(data, offs)
 
 
+def signature(h: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """A sum of the hashes of each document's shingles, n of them for each."""
+    cum = np.r_[np.uint64(0), np.cumsum(mix(h ^ np.uint64(seed)))]
+    return (cum[np.cumsum(n)] - cum[np.cumsum(n) - n]).view(np.int64)
+
+
+SEEDS = (0x51, 0xA7)
 STATS = "doc_id long, n int, s1 long, s2 long, gram long, cnt int"
 
 
@@ -87,13 +97,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for (ids,), doc, h in _batches(batches):
         n = np.bincount(doc, minlength=len(ids))
-        sums = []
-        for seed in (0x51, 0xA7):
-            acc = np.zeros(len(ids) + 1, np.uint64)
-            cum = np.r_[np.uint64(0), np.cumsum(mix(h ^ np.uint64(seed)))]
-            acc = cum[np.cumsum(n)] - cum[np.cumsum(n) - n]
-            sums.append(acc.view(np.int64))
-        yield out(ids, n.astype(np.int32), *sums, None, None)
+        yield out(ids, n.astype(np.int32), *[signature(h, n, seed) for seed in SEEDS], None, None)
         held.append(h)
         size += len(h)
         if size >= FLUSH:
@@ -130,29 +134,37 @@ def shares(n):
     return np.maximum(1, n // 25)
 
 
-PREFIX = "bucket int, ids binary, comps binary, lens binary, at binary, grams binary"
+PREFIX = "bucket int, ids binary, comps binary, weights binary, lens binary, at binary, grams binary"
 
 
 def _prefixes(bits: int, frequent_, labelled: bool):
+    """Packed prefix shingles by bucket, each with its set: by signature, or by id with its label and that one's size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent_.value
         held, size = [], 0
 
         def flush():
-            ids, comps, n, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, comps, weights, n, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, h))
+            ids, h = ids[order], h[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])]
+            ids, h, order = ids[new], h[new], order[new]
+            comps, weights, n, at = (x[order] for x in (comps, weights, n, at))
             b = (h >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.lexsort((ids, b))
-            ids, comps, n, at, h, b = (x[order] for x in (ids, comps, n, at, h, b))
-            rows = [(int(b[s]), ids[s:e].tobytes(), comps[s:e].tobytes() if labelled else b"", n[s:e].tobytes(), at[s:e].tobytes(), pack7(h[s:e])) for s, e in zip(*groups(b), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], [x.split()[0] for x in PREFIX.split(", ")])
+            rows = [(int(b[s]), ids[s:e].tobytes(), *((comps[s:e].tobytes(), weights[s:e].tobytes()) if labelled else (b"", b"")), n[s:e].tobytes(), at[s:e].tobytes(), pack7(h[s:e])) for s, e in zip(*groups(b), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], [x.split()[0] for x in PREFIX.split(", ")])
 
-        for (ids, *comp), doc, h in _batches(batches, *([2] if labelled else [])):
+        for (ids, *label), doc, h in _batches(batches, *([2, 3] if labelled else [])):
             n = np.bincount(doc, minlength=len(ids))
+            if not labelled:
+                ids = signature(h, n, SEEDS[0])
+                label = ids, np.ones(len(ids), np.int64)
             doc, h, _ = ordered(doc, h, last)
             at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             keep = at < n[doc] - (4 * n[doc] + 4) // 5 + shares(n[doc])
             doc, h, at = doc[keep], h[keep], at[keep]
-            held.append((ids[doc], comp[0][doc] if labelled else ids[doc], n[doc].astype(np.int32), at.astype(np.int32), h))
+            held.append((ids[doc], *[x[doc] for x in label], n[doc].astype(np.int32), at.astype(np.int32), h))
             size += len(h)
             if size >= FLUSH // 2:
                 yield flush()
@@ -163,6 +175,24 @@ def _prefixes(bits: int, frequent_, labelled: bool):
     return run
 
 
+def _opened(t: pa.Table, labelled: bool):
+    """The columns of one bucket: ids, labels and their sizes, set sizes, places, shingles; each set once a shingle."""
+    col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
+    ids, n, at = col("ids", np.int64), col("lens", np.int32).astype(np.int64), col("at", np.int32).astype(np.int64)
+    comps, weights = (col("comps", np.int64), col("weights", np.int64)) if labelled else (ids, ids)
+    h = np.concatenate([unpack7(x) for x in t.column("grams").to_pylist()])
+    order = np.lexsort((ids, n, h))
+    order = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (ids[order][1:] != ids[order][:-1])]] if len(order) else order
+    return tuple(x[order] for x in (ids, comps, weights, n, at, h))
+
+
+def _fits(i, j, n, at):
+    """Whether a shingle at these places counts for sets i and j, i not the larger: indexed prefix of i, and what
+    else can be common."""
+    ok = at[i] < n[i] - (8 * n[i] + 8) // 9 + shares(n[i])
+    return ok & (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j]))
+
+
 def _tally(a, b, n, votes):
     """Votes summed over equal (a, b, n)."""
     order = np.lexsort((n, b, a))
@@ -174,55 +204,62 @@ def _tally(a, b, n, votes):
 PAIRS = "grp int, a binary, b binary, n binary, votes binary"
 
 
-def _elected(every: bool):
-    """Of one group of asking sets: the pairs with enough votes, all or each set's best; and who stays in play.
+def _summed(t: pa.Table):
+    col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
+    return _tally(col("a", np.int64), col("b", np.int64), col("n", np.int32), col("votes", np.int32).astype(np.int64))
 
-    Rows of a document with itself: hot if long lists hold it, else it has partners that are not tried yet."""
 
-    def run(t: pa.Table) -> pa.Table:
-        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-        a, b, n, votes = _tally(col("a", np.int64), col("b", np.int64), col("n", np.int32), col("votes", np.int32).astype(np.int64))
-        ok = votes >= (shares(n) if every else (shares(n) + 1) // 2)
-        a, b, votes = a[ok], b[ok], votes[ok]
-        hot = np.zeros(len(a), bool)
-        if not every:
-            warm = np.unique(a[a == b])
-            order = np.lexsort((a, -votes, b, a == b))
-            a, b = a[order], b[order]
-            own = a == b
-            s, e = groups(np.where(own, LOW, b))
-            best = (np.arange(len(b)) - np.repeat(s, e - s) < TOP) & ~own
-            rest = np.setdiff1d(np.r_[a, b], np.r_[a[best], b[best], warm])
-            a, b = np.r_[a[best], rest, warm], np.r_[b[best], rest, warm]
-            hot = np.arange(len(a)) >= len(a) - len(warm)
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "hot": pa.array(hot)})
-
-    return run
+def _elected(t: pa.Table) -> pa.Table:
+    """Of one group of asking sets: each set's best pairs with enough votes; and who stays in play.
 
-
-def _candidates(labelled: bool, every: bool, seed: int, parts: int):
+    Rows of a document with itself: hot if long lists hold it, else it has partners that are not tried yet."""
+    a, b, n, votes = _summed(t)
+    ok = votes >= (shares(n) + 1) // 2
+    a, b, votes = a[ok], b[ok], votes[ok]
+    warm = np.unique(a[a == b])
+    order = np.lexsort((a, -votes, b, a == b))
+    a, b = a[order], b[order]
+    own = a == b
+    s, e = groups(np.where(own, LOW, b))
+    best = (np.arange(len(b)) - np.repeat(s, e - s) < TOP) & ~own
+    rest = np.setdiff1d(np.r_[a, b], np.r_[a[best], b[best], warm])
+    a, b = np.r_[a[best], rest, warm], np.r_[b[best], rest, warm]
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "hot": pa.array(np.arange(len(a)) >= len(a) - len(warm))})
+
+
+def _asked(t: pa.Table) -> pa.Table:
+    """Of one group of asking documents: the components that each has to try. n is the least size of a partner."""
+    a, b, n, votes = _summed(t)
+    ok = votes >= shares(n)
+    return pa.table({"comp": pa.array(a[ok]), "id": pa.array(b[ok])})
+
+
+def _packed(a, b, k, parts: int) -> pa.Table:
+    """One vote for each (a, b, k), added up and packed by the asking set's group."""
+    a, b, k, votes = _tally(a, b, k, np.ones(len(a), np.int64))
+    g = (mix(b.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(g, kind="stable")
+    g, a, b, k, votes = g[order], a[order], b[order], k[order].astype(np.int32), votes[order].astype(np.int32)
+    rows = [(int(g[x]), *(c[x:y].tobytes() for c in (a, b, k, votes))) for x, y in zip(*groups(g), strict=True)]
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["grp", "a", "b", "n", "votes"])
+
+
+def _candidates(labelled: bool, seed: int, parts: int):
     """Votes of one bucket of prefix shingles for pairs (the asking set last), packed by the asking set's group.
 
-    Lists of up to SHORT holders, or all with ``every``, give every pair, the larger set asking. In a longer
-    one each holder asks the PIVOTS least by hashes of their ids; with labels, the pivots are of the most
-    common label and the holders of others ask."""
+    Lists of up to SHORT holders give every pair, the larger set asking. In a longer one each holder asks
+    the PIVOTS least by hashes of their ids; with labels, the pivots are of the most common label and the
+    holders of others ask."""
 
     def run(t: pa.Table) -> pa.Table:
-        col = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
-        ids, n, at = col("ids", np.int64), col("lens", np.int32).astype(np.int64), col("at", np.int32).astype(np.int64)
-        comps = col("comps", np.int64) if labelled else ids
-        h = np.concatenate([unpack7(x) for x in t.column("grams").to_pylist()])
-        order = np.lexsort((ids, n, h))
-        ids, comps, n, at, h = (x[order] for x in (ids, comps, n, at, h))
+        ids, comps, _, n, at, h = _opened(t, labelled)
         s, e = groups(h)
         found = [(np.zeros(0, np.int64),) * 3]
 
         def pairs(one, asker):
-            """Length bound, indexed prefix of the smaller (the earlier), what else can be common."""
             i, j = np.minimum(one, asker), np.maximum(one, asker)
-            ok = (5 * n[i] >= 4 * n[j]) & (ids[i] != ids[j])
-            ok &= at[i] < n[i] - (8 * n[i] + 8) // 9 + shares(n[i])
-            ok &= np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j])
+            ok = (5 * n[i] >= 4 * n[j]) & (ids[i] != ids[j]) & _fits(i, j, n, at)
             if labelled:
                 ok &= comps[i] != comps[j]
             found.append((ids[one[ok]], ids[asker[ok]], n[i[ok]]))
@@ -235,65 +272,90 @@ def _candidates(labelled: bool, every: bool, seed: int, parts: int):
                     if len(at_m):
                         pairs(at_m + x, at_m + y)
         for x, y in zip(s[size > SHORT], e[size > SHORT], strict=True):
+            j = np.arange(x, y)
+            of, asking = j, j
             if labelled:
-                names, which, count = np.unique(comps[x:y], return_inverse=True, return_counts=True)
+                _, which, count = np.unique(comps[x:y], return_inverse=True, return_counts=True)
                 most = np.argmax(count)
-            if every:  # every pair of unlike labels, from the side of the less common labels
-                for i in np.flatnonzero(which != most) + x:
-                    j = np.r_[np.arange(i + 1, y), x + np.flatnonzero(which[: i - x] == most)]
-                    pairs(np.minimum(i, j), np.maximum(i, j))
-            else:
-                j = np.arange(x, y)
-                of, asking = (j[which == most], j[which != most]) if labelled else (j, j)
-                order = mix(ids[of].view(np.uint64) ^ np.uint64(seed))
-                pivots = of[np.argpartition(order, PIVOTS - 1)[:PIVOTS]] if len(of) > PIVOTS else of
-                for i in pivots:
-                    pairs(np.full(len(asking), i), asking)
-                if not labelled:  # and the first that is not too small; each holder with itself
-                    i = np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x
-                    new = (i < j) & ~np.isin(i, pivots)
-                    pairs(i[new], j[new])
-                    found.append((ids[j], ids[j], (4 * n[j] + 4) // 5))  # by the smallest partner it can have
-        a, b, k = (np.concatenate(c) for c in zip(*found, strict=True))
-        a, b, k, votes = _tally(a, b, k, np.ones(len(a), np.int64))
-        g = (mix(b.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(g, kind="stable")
-        g, a, b, k, votes = g[order], a[order], b[order], k[order].astype(np.int32), votes[order].astype(np.int32)
-        rows = [(int(g[x]), *(c[x:y].tobytes() for c in (a, b, k, votes))) for x, y in zip(*groups(g), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["grp", "a", "b", "n", "votes"])
+                of, asking = j[which == most], j[which != most]
+            order = mix(ids[of].view(np.uint64) ^ np.uint64(seed))
+            pivots = of[np.argpartition(order, PIVOTS - 1)[:PIVOTS]] if len(of) > PIVOTS else of
+            for i in pivots:
+                pairs(np.full(len(asking), i), asking)
+            if not labelled:  # and the first that is not too small; each holder with itself
+                i = np.searchsorted(n[x:y], (4 * n[x:y] + 4) // 5, "left") + x
+                new = (i < j) & ~np.isin(i, pivots)
+                pairs(i[new], j[new])
+                found.append((ids[j], ids[j], (4 * n[j] + 4) // 5))  # by the smallest partner it can have
+        return _packed(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
+
+    return run
+
+
+def _asks(parts: int):
+    """Votes of one bucket of prefix shingles for (component, document of a smaller one), packed likewise.
+
+    Of two components the one with fewer documents in play asks, of equal ones that of the smaller label: the same one
+    whatever the shingle. A document counts a shingle for a component if some holder there is of like size;
+    where there is one holder only, if the bounds of that pair hold."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, comps, weights, n, at, h = _opened(t, True)
+        order = np.lexsort((n, comps, weights, h))
+        ids, comps, n, at, h = (x[order] for x in (ids, comps, n, at, h))
+        # runs: holders of one shingle with one label; those of a shingle follow each other, from the smallest component
+        s = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (comps[1:] != comps[:-1])])
+        e = np.r_[s[1:], len(h)]
+        last = np.searchsorted(h[s], h[s], "right") - 1
+        found = [(np.zeros(0, np.int64),) * 3]
+        asking, step = np.flatnonzero(last > np.arange(len(s))), 1
+        while len(asking):
+            of, size = asking + step, e[asking] - s[asking]
+            b = np.repeat(s[asking] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            of = np.repeat(of, size)
+            ok = (5 * n[e[of] - 1] >= 4 * n[b]) & (4 * n[s[of]] <= 5 * n[b])
+            b, of = b[ok], of[ok]
+            y = s[of]
+            small, large = np.where(n[b] <= n[y], b, y), np.where(n[b] <= n[y], y, b)
+            ok = (e[of] - y > 1) | _fits(small, large, n, at)
+            b, y = b[ok], y[ok]
+            found.append((comps[y], ids[b], (4 * n[b] + 4) // 5))
+            step += 1
+            asking = asking[last[asking] >= asking + step]
+        return _packed(*(np.concatenate(c) for c in zip(*found, strict=True)), parts)
 
     return run
 
 
 class Trie:
-    """A compressed prefix tree of ordered sets: a node holds a run of shingles that its sets share."""
+    """A compressed prefix tree of ordered sets: a node holds a run of shingles that its sets share.
+
+    Nodes are made when a walk first reaches them."""
 
     def __init__(self, sets: list[np.ndarray], rank: list[np.ndarray]):
         # byte keys that sort as the global order does: rank, then hash
         keys = [np.stack([r.astype(">u8").view(np.uint64), s.astype(">u8").view(np.uint64)], 1).tobytes() for s, r in zip(sets, rank, strict=True)]
         self.sets = sets
-        order = sorted(range(len(sets)), key=keys.__getitem__)
-        self.root = self._node(order, 0)
+        self.root = self._node(sorted(range(len(sets)), key=keys.__getitem__), 0)
 
-    def _node(self, members: list[int], depth: int):
-        """(start, end, ids that end here, children, least and largest set below); members are sorted."""
+    def _node(self, members: list[int], depth: int) -> dict:
         first, final = self.sets[members[0]], self.sets[members[-1]]
         m = min(len(first), len(final))
         same = first[depth:m] == final[depth:m]
         end = m if same.all() else depth + int(np.argmin(same))
-        done = [i for i in members if len(self.sets[i]) == end]
-        rest = [i for i in members if len(self.sets[i]) > end]
-        children, k = [], 0
-        while k < len(rest):
-            g = self.sets[rest[k]][end]
-            j = k
-            while j < len(rest) and self.sets[rest[j]][end] == g:
-                j += 1
-            children.append(rest[k:j])
-            k = j
         sizes = [len(self.sets[i]) for i in members]
-        return (members[0], depth, end, done, children, min(sizes), max(sizes))
+        return {"run": first[depth:end], "end": end, "done": [i for i in members if len(self.sets[i]) == end], "rest": [i for i in members if len(self.sets[i]) > end], "least": min(sizes), "most": max(sizes)}
+
+    def _children(self, node: dict) -> list[dict]:
+        if "children" not in node:
+            rest, end, k, node["children"] = node["rest"], node["end"], 0, []
+            while k < len(rest):
+                g, j = self.sets[rest[k]][end], k
+                while j < len(rest) and self.sets[rest[j]][end] == g:
+                    j += 1
+                node["children"].append(self._node(rest[k:j], end))
+                k = j
+        return node["children"]
 
     def walk(self, probe: np.ndarray) -> Iterator[tuple[int, int]]:
         """(set, overlap) of every set that reaches the threshold with the probe."""
@@ -302,37 +364,51 @@ class Trie:
             return
         stack = [(self.root, 0)]
         while stack:
-            (one, start, end, done, children, least, most), common = stack.pop()
-            run = self.sets[one][start:end]
+            node, common = stack.pop()
+            run = node["run"]
             if len(run):
                 at = np.minimum(np.searchsorted(known, run), len(known) - 1)
                 common += int((known[at] == run).sum())
-            for i in done:
+            for i in node["done"]:
                 if common >= least_overlap(len(self.sets[i]), len(probe)):
                     yield i, common
-            if children and common + min(most - end, len(probe) - common) >= least_overlap(least, len(probe)):
-                stack.extend((self._node(c, end), common) for c in children)
+            if node["rest"] and common + min(node["most"] - node["end"], len(probe) - common) >= least_overlap(node["least"], len(probe)):
+                stack.extend((c, common) for c in self._children(node))
+
+
+def _sets(text: pa.ChunkedArray, last: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The ordered sets of a group's texts and their ranks."""
+    sets, ranks = [], []
+    for _, _, data, offs in pieces(text):
+        doc, h = shingles(data, offs)
+        n = np.bincount(doc, minlength=len(offs) - 1)
+        doc, h, key = ordered(doc, h, last)
+        cut_at = np.cumsum(n)[:-1]
+        sets += np.split(h, cut_at)
+        ranks += np.split(key, cut_at)
+    return sets, ranks
+
+
+LINK = "a long, b long"
+
+
+def _found(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verify(frequent_):
     """Pairs of one centre and some of its candidates that reach the threshold."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, sets, ranks = t.column("id").to_numpy(), [], []
-        for _, _, data, offs in pieces(t.column("text")):
-            doc, h = shingles(data, offs)
-            n = np.bincount(doc, minlength=len(offs) - 1)
-            doc, h, key = ordered(doc, h, frequent_.value)
-            cut_at = np.cumsum(n)[:-1]
-            sets += np.split(h, cut_at)
-            ranks += np.split(key, cut_at)
+        ids = t.column("id").to_numpy()
+        sets, ranks = _sets(t.column("text"), frequent_.value)
         centre = int(np.flatnonzero(ids == t.column("a")[0].as_py())[0])
         others = [i for i in range(len(ids)) if i != centre and len(sets[i])]
         hits = []
         if others:
             trie = Trie([sets[i] for i in others], [ranks[i] for i in others])
             hits = [int(ids[others[i]]) for i, _ in trie.walk(sets[centre])]
-        return pa.table({"a": pa.array([int(ids[centre])] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
+        return _found([int(ids[centre])] * len(hits), hits)
 
     return run
 
@@ -342,8 +418,44 @@ def _links(pairs: DataFrame, live: DataFrame, frequent_) -> DataFrame:
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("k"))
     asked = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"), F.col("b").alias("id"))
     centres = size.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part")).withColumn("id", F.col("a"))
-    rows = asked.union(centres).join(live.withColumnRenamed("doc_id", "id"), "id")
-    return rows.groupBy("a", "part").applyInArrow(_verify(frequent_), "a long, b long")
+    rows = asked.union(centres).join(live.select(F.col("doc_id").alias("id"), "text"), "id")
+    return rows.groupBy("a", "part").applyInArrow(_verify(frequent_), LINK)
+
+
+def _meet(frequent_):
+    """For each document that asks one block of a component, a member of the block that it is linked with."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, asks = t.column("id").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
+        sets, ranks = _sets(t.column("text"), frequent_.value)
+        of = [i for i in np.flatnonzero(~asks) if len(sets[i])]
+        a, b = [], []
+        if of:
+            trie = Trie([sets[i] for i in of], [ranks[i] for i in of])
+            for i in np.flatnonzero(asks):
+                for j, _ in trie.walk(sets[i]):
+                    a.append(int(ids[of[j]]))
+                    b.append(int(ids[i]))
+                    break
+        return _found(a, b)
+
+    return run
+
+
+def _bridges(asks: DataFrame, live: DataFrame, frequent_) -> DataFrame:
+    """Of asks(comp, id), links (a, b) of the document with a member of the component, one for each block that has any.
+
+    Components are dealt over blocks, and those who ask over chunks, of bounded numbers of sets and shingles; a
+    block meets each chunk."""
+    parts = lambda: F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum("n") / TREE)).cast("int")
+    chunks = asks.join(live.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("comp").agg(parts().alias("c"))
+    plan = live.groupBy("comp").agg(parts().alias("k")).join(chunks, "comp")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = live.select("comp", F.col("doc_id").alias("id")).join(plan, "comp").withColumn("part", dealt("k")).select("comp", "id", F.lit(False).alias("asks"), "part", every("c").alias("chunk"))
+    askers = asks.join(plan, "comp").withColumn("chunk", dealt("c")).select("comp", "id", F.lit(True).alias("asks"), every("k").alias("part"), "chunk")
+    rows = members.union(askers).join(live.select(F.col("doc_id").alias("id"), "text"), "id")
+    return rows.groupBy("comp", "part", "chunk").applyInArrow(_meet(frequent_), LINK)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -355,49 +467,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one component; if their texts differ, any one of them is compared with other documents. A null doc_id counts as the smallest id. Empty input gives an
     empty result; further columns are not carried."""
     spark = docs.sparkSession
-    bits = bucket_bits(spark)
-    parts = max(64, 2 ** (bits - 3))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = cut(texts.mapInArrow(_stats, STATS))
+    stats = cut(texts.mapInArrow(_stats, STATS), F.sum(F.col("n").cast("long")).alias("n"))
+    bits = bucket_bits((stats.measured["n"] or 0) // 4)  # about a quarter of a set is its prefix
+    parts = max(64, 2 ** (bits - 3))
     sets = stats.where("doc_id is not null").select("doc_id", "n", "s1", "s2")
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    classed = cut(sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "class_id"))
-    equal = classed.where("n > 0").select("doc_id", "class_id").distinct()
+    classed = cut(sets.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "s1", "class_id"))
     last = spark.sparkContext.broadcast(frequent(stats))
+    release(stats)
+    named = classed.where("n > 0").select(F.col("s1").alias("sig"), "class_id").distinct()
 
-    def candidates(d: DataFrame, labelled: bool, every: bool, seed: int) -> DataFrame:
+    def candidates(d: DataFrame, labelled: bool, seed: int) -> DataFrame:
         sent = d.mapInArrow(_prefixes(bits, last, labelled), PREFIX)
-        packed = sent.groupBy("bucket").applyInArrow(_candidates(labelled, every, seed, parts), PAIRS)
-        return packed.groupBy("grp").applyInArrow(_elected(every), "a long, b long, hot boolean")
-
-    # round 1; copies stand for their class from here on
-    found = cut(candidates(texts, False, False, 0))
-    named = found.join(equal.select(F.col("doc_id").alias("a"), F.col("class_id").alias("ca")), "a").join(equal.select(F.col("doc_id").alias("b"), F.col("class_id").alias("cb")), "b")
-    named = cut(named.where("ca <> cb or a = b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.max("hot").alias("hot")))
-    pairs = cut(named.where("a <> b").select("a", "b"))
-    ids = named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    live = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW))).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    live = cut(live)
+        return sent.groupBy("bucket").applyInArrow(_candidates(labelled, seed, parts), PAIRS).groupBy("grp").applyInArrow(_elected, "a long, b long, hot boolean")
+
+    # signatures are looked up again as classes; two that share one by chance are both tried
+    found = candidates(texts, False, 0).join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b")
+    found = cut(found.where("ca <> cb or a = b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.max("hot").alias("hot")))
+    ids = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    hot = found.where("a = b and hot").select(F.col("a").alias("doc_id"), F.lit(True).alias("hot"))
+    live = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW))).join(ids.join(hot, "doc_id", "left").hint("merge"), "doc_id").join(classed.where("doc_id = class_id").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    live = cut(live.dropDuplicates(["doc_id"]).select("doc_id", "text", "n", F.coalesce("hot", F.lit(False)).alias("hot")))
+    pairs = found.where("a <> b").select("a", "b")
     links = cut(_links(pairs, live, last))
 
-    def label(of: DataFrame) -> DataFrame:
-        found = cut(components(links).withColumnRenamed("id", "doc_id"))
-        return of.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("comp"))
-
-    def untried(d: DataFrame) -> DataFrame:
-        return d.where("a <> b").select("a", "b").join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti")
-
-    hot = cut(live.join(named.where("a = b and hot").select(F.col("a").alias("doc_id")), "doc_id", "left_semi"))
-    for seed in range(1, ROUNDS + 1):
-        more = cut(untried(candidates(label(hot), True, False, seed)))
-        new = cut(_links(more, hot, last))
-        pairs, links = pairs.union(more), links.union(new)
-        if new.isEmpty():
-            break
-    more = cut(untried(candidates(label(live), True, True, 0)))
-    links = links.union(_links(more, live, last))
-    final = components(links.union(equal.where("doc_id <> class_id").toDF("a", "b"))).withColumnRenamed("id", "doc_id")
-    out = classed.join(final, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    def label(links: DataFrame) -> DataFrame:
+        of = live.select("doc_id").join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        sized = of.join(of.groupBy("comp").agg(F.count("*").alias("weight")), "comp")
+        return live.join(sized, "doc_id").select("doc_id", "text", "comp", "weight", "n", "hot")
+
+    more = cut(candidates(label(links).where("hot"), True, 1).where("a <> b").select("a", "b").join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
+    links = links.union(cut(_links(more, live, last)))
+    labelled = cut(label(links))
+    asks = labelled.mapInArrow(_prefixes(bits, last, True), PREFIX).groupBy("bucket").applyInArrow(_asks(parts), PAIRS).groupBy("grp").applyInArrow(_asked, "comp long, id long")
+    links = links.union(_bridges(cut(asks), labelled, last))
+    # rows of one id with several texts are one
+    same = classed.where("n > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b")
+    same = classed.where("n > 0").join(same.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    final = components(links.union(same)).withColumnRenamed("id", "class_id")
+    out = classed.join(final, "class_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     return out.select(*[F.nullif(F.col(c), F.lit(LOW).cast("long")).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 

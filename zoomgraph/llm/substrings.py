@@ -155,7 +155,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, text: bool = True) -> Data
     A null doc_id counts as smaller than all others; rows that repeat an id are judged alike and not
     against each other. Empty input gives an empty result; further columns are not carried."""
     spark = docs.sparkSession
-    bits = bucket_bits(spark)
+    bits = bucket_bits(1 << 25)
     n = 2**bits
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = texts.mapInArrow(_scatter(window, bits), PACKED)

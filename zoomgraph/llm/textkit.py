@@ -138,9 +138,9 @@ def unpack7(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def bucket_bits(spark) -> int:
-    """Bits of hash buckets: two buckets or more for each shuffle partition, and a byte at least."""
-    return min(20, max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+def bucket_bits(units: int, each: int = 1 << 17) -> int:
+    """Bits of hash buckets for about ``each`` of the counted units in a bucket; a byte at least."""
+    return min(30, max(8, (max(1, units // each) - 1).bit_length()))
 
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
