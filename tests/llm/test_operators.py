@@ -151,6 +151,19 @@ def test_shards_are_exact(spark, odd_docs):
         below += r["size"]
 
 
+CLASHES = ["n", "hi", "lo", "c1", "c2", "c3", "key", "base", "hit", "v", "least", "most", "id", "row", "big1", "first", "whole", "last", "edge", "room", "__n", "__salt", "factor", "b1", "words", "comp", "a", "b"]
+
+
+def test_any_other_name_may_occur(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(c + "-"), F.col("text")).alias(c) for c in CLASHES])
+    want = Counter(map(tuple, docs.collect()))
+    for stage in (sharding.histogram_shards, mixing.pareto_mix, language.identify):
+        assert Counter(tuple(r[c] for c in docs.columns) for r in stage(docs).collect()) == want
+    for stage in (mixing.stage_mixing, language.stage_language, ngram_join.stage_ngram_join, sharding.stage_sharding):
+        rows = stage(spark, docs, "").collect()
+        assert rows and {tuple(r[c] for c in docs.columns) for r in rows} <= set(want)
+
+
 def test_tolerance_is_met(spark):
     rows = spark.createDataFrame([(int(x), i, 10) for i, x in enumerate(np.random.default_rng(0).integers(2**32, size=4000))], "hi long, lo long, size long")
     at = sharding.splitters(rows, 40_000, 4, probes=64, tolerance=0.05)

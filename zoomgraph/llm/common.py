@@ -65,12 +65,12 @@ def private(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
-def join_small(rows: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+def join_small(rows: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "inner", few: bool | None = None) -> DataFrame:
     """Join rows with a table of one narrow row per key.
 
-    The table is broadcast only if it is counted to hold at most SMALL_ROWS rows. Beyond that, hot keys
-    are dealt over SALTS partitions by ``spread`` and the table is repeated for each of them."""
-    if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    The table is broadcast only if it is counted to hold at most SMALL_ROWS rows (``few``: whether it was). Beyond
+    that, hot keys are dealt over SALTS partitions by ``spread`` and the table is repeated for each of them."""
+    if few if few is not None else table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return rows.join(F.broadcast(table), key, how)
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")

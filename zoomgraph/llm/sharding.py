@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, without
+from .common import SMALL_ROWS, cut, join_small, private, table
 
 LOW = -(2**63)
 OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -94,42 +94,41 @@ def shard_of(at: list[tuple[int, int]]) -> Column:
 
 
 def histogram_shards(docs: DataFrame, shards: int = 16, tolerance: float = 0.0, block_rows: int = 4096) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard; clashing input columns are replaced.
+    """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with these names are replaced, any
+    other name may occur.
 
     size: UTF-8 bytes of the text and 1 more; a null text has size 1, a null CRC and sorts first; a null
     doc_id sorts before all others. Repeated rows with one id and text can't be told apart and share a
     shard. Empty input gives an empty result. slot: rank by key within the shard, from 0."""
-    doc = without(docs, *OUT, "hi", "lo", "c1", "c2", "c3", "__first")
-    doc = doc.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).withColumn("text_crc32", F.crc32(F.col("text")).cast("long"))
-    doc = doc.withColumn("hi", F.coalesce("text_crc32", F.lit(-1).cast("long"))).withColumn("lo", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)))
-    bones = cut(doc.select("hi", "lo", "size"))
-    total, rows = bones.agg(F.sum("size"), F.count("*")).first()
+    crc = F.crc32(F.col("text")).cast("long")
+    doc = private(docs, size=F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, text_crc32=crc, hi=F.coalesce(crc, F.lit(-1).cast("long")), lo=F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)))
+    bones = cut(doc.select("hi", "lo", "size"), F.sum("size").alias("total"), F.count("*").alias("rows"))
+    total, rows = bones.measured["total"], bones.measured["rows"]
     at = splitters(bones, total, shards, tolerance=tolerance) if rows else []
-    keyed = lambda d: d.withColumn("shard", shard_of(at))
     # Blocks of about block_rows neighbours: high bits of hi; whole values of hi where those are too
     # many; pieces of lo where one value is.
-    bits = min(16, max(6, math.ceil(math.log2(max(1, rows / (block_rows / 2))))))
-    c1 = F.shiftright(F.col("hi"), 32 - bits)
-    full = keyed(bones).withColumn("c1", c1)
-    hot1 = F.broadcast(full.groupBy("c1").count().where(F.col("count") > block_rows).select("c1", F.lit(1).alias("big1")))
-    hot2 = full.join(hot1, "c1").groupBy("hi").agg(F.count("*").alias("n"), F.min("lo").cast("decimal(20,0)").alias("least"), F.max("lo").cast("decimal(20,0)").alias("most")).where(F.col("n") > block_rows)
-    # at most rows / block_rows values are that frequent; they are joined by broadcast only if few
-    few = hot2.limit(10_001).count() <= 10_000
+    bits = min(32, max(6, math.ceil(math.log2(max(1, rows / (block_rows / 2))))))
+    keyed = lambda d: d.withColumn("shard", shard_of(at)).withColumn("c1", F.shiftright(F.col("hi"), 32 - bits))
+    full = keyed(bones)
+    hot1 = cut(full.groupBy("c1").count().where(F.col("count") > block_rows).select("c1", F.lit(1).alias("big1")), F.count("*").alias("n"))
+    few1 = hot1.measured["n"] <= SMALL_ROWS
+    hot2 = join_small(full, hot1, "c1", F.col("lo"), few=few1).groupBy("hi").agg(F.count("*").alias("n"), F.min("lo").cast("decimal(20,0)").alias("least"), F.max("lo").cast("decimal(20,0)").alias("most")).where(F.col("n") > block_rows)
+    hot2 = cut(hot2, F.count("*").alias("n"))
+    few2 = hot2.measured["n"] <= SMALL_ROWS
 
     def blocks(d: DataFrame) -> DataFrame:
-        d = keyed(d).withColumn("c1", c1).join(hot1, "c1", "left").withColumn("c2", F.when(F.col("big1") == 1, F.col("hi")).otherwise(F.lit(-2).cast("long")))
-        d = d.join(F.broadcast(hot2) if few else hot2, "hi", "left")
+        d = join_small(keyed(d), hot1, "c1", F.col("lo"), "left", few1).withColumn("c2", F.when(F.col("big1") == 1, F.col("hi")).otherwise(F.lit(-2).cast("long")))
+        d = join_small(d, hot2, "hi", F.col("lo"), "left", few2)
         span = F.col("most") - F.col("least") + 1
         piece = F.floor((F.col("lo").cast("decimal(20,0)") - F.col("least")).cast("double") * F.ceil(F.col("n") / block_rows) / span.cast("double")).cast("long")
         return d.withColumn("c3", F.coalesce(piece, F.lit(-1).cast("long"))).drop("big1", "n", "least", "most")
 
     by = Window.partitionBy("shard").orderBy("c1", "c2", "c3").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks(bones).groupBy("shard", "c1", "c2", "c3").agg(F.count("*").alias("n")).withColumn("__first", F.coalesce(F.sum("n").over(by), F.lit(0))).drop("n")
+    offsets = blocks(bones).groupBy("shard", "c1", "c2", "c3").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(by), F.lit(0))).drop("n")
     within = Window.partitionBy("shard", "c1", "c2", "c3").orderBy("hi", "lo")
     out = blocks(doc).withColumn("slot", F.row_number().over(within).cast("long") - 1).join(offsets, ["shard", "c1", "c2", "c3"])
-    out = out.withColumn("slot", F.col("slot") + F.col("__first")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
-    kept = [c for c in docs.columns if c.lower() not in OUT]
-    return out.select(*kept, *OUT)
+    out = out.withColumn("slot", F.col("slot") + F.col("first")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in OUT], *OUT)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
