@@ -1,6 +1,7 @@
 """Each operator on a small fixture with odd rows, on no rows, and against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -242,6 +243,37 @@ def test_language_is_learned(spark):
     assert got[501]["lang_pred"] == got[502]["lang_pred"] == "und" and got[503]["lang_pred"] != "und"
 
 
+def test_short_texts_and_many_languages_are_learned(spark):
+    rng = np.random.default_rng(15)
+    roots = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnop"), size=4)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(roots[k], size=5)), k) for i, k in enumerate(list(roots) * 30)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    held = [r for r in rows if got[r[0]]["held_out"]]
+    assert not [i for i, t, _ in rows if got[i]["lang_pred"] == "und"]
+    assert {got[i]["lang_pred"] for i, _, _ in held} == set(roots)
+    assert np.mean([got[i]["lang_pred"] == k for i, _, k in held]) > 0.95
+
+
+def test_field_is_the_sum_over_all_labellings():
+    rng = np.random.default_rng(16)
+    k, sizes = 3, [4, 2, 1]
+    em, tr = rng.random((3, 4, k)) + 0.1, rng.random((k, k)) + 0.1
+    valid = np.arange(4) < np.array(sizes)[:, None]
+    post, pair = language.posteriors(em, tr, valid)
+    for d, n in enumerate(sizes):
+        one, two, total = np.zeros((n, k)), np.zeros((max(0, n - 1), k, k)), 0.0
+        for y in itertools.product(range(k), repeat=n):
+            p = (np.full(k, 1 / k) @ tr)[y[0]] * np.prod([em[d, t, y[t]] for t in range(n)]) * np.prod([tr[y[t], y[t + 1]] for t in range(n - 1)])
+            total += p
+            for t in range(n):
+                one[t, y[t]] += p
+            for t in range(n - 1):
+                two[t, y[t], y[t + 1]] += p
+        np.testing.assert_allclose(post[d, :n], one / total)
+        np.testing.assert_allclose(pair[d, : n - 1], two / total)
+        assert not post[d, n:].any() and not pair[d, max(0, n - 1) :].any()
+
+
 def test_forward_backward_over_blocks_is_exact(monkeypatch):
     rng = np.random.default_rng(6)
     first, tr = np.array([0, 5, 5, 42, 300]), rng.random((3, 3)) + 0.1
