@@ -109,8 +109,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent(stats: DataFrame) -> np.ndarray:
     """The most frequent shingles, least frequent first."""
-    top = stats.where("gram is not null").groupBy("gram").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram").toPandas()
-    return top["gram"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    top = stats.where("gram is not null").groupBy("gram").agg(F.sum("cnt").alias("c")).orderBy(F.desc("c"), "gram").limit(FREQUENT).select("gram").toArrow()
+    return top.column("gram").to_numpy().view(np.uint64)[::-1].copy()
 
 
 def ordered(doc: np.ndarray, h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n + 1:
-        n = max(n, PIECE * 2)
+        n = max(n, 1 << 16, 2 * len(_powers.get("p", ())))
         for name, base in (("p", _P), ("i", _INV)):
             a = np.full(n + 1, base, np.uint64)
             a[0] = 1
