@@ -10,6 +10,7 @@ sections' intervals, and a token that crosses a boundary is allocated by a rule:
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public byte-level vocabularies split a text before merging; a fixed value of theirs.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of the pattern, from this many characters on: the pattern's engine steps back through such a run, on a stack
+#: that overflows on very long ones.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 RULES = ("start", "majority", "split")
 _made: dict[int, tuple] = {}
 
@@ -39,6 +43,20 @@ def encoder(ranks: bytes):
     return _made[key]
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The tokens of a whole text, as the encoder itself gives them.
+
+    Where white space ends the text the pattern takes it as one piece; before anything else it takes all but its
+    last character as one piece, and goes on from that one. Long runs are cut by this rule beforehand."""
+    out, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def lines(raw: np.ndarray) -> np.ndarray:
     """Byte boundaries of the sections of a text: its lines, each with its line feed."""
     at = np.flatnonzero(raw == 10) + 1
@@ -78,7 +96,7 @@ def _count(ranks, rule: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         for text in batch.column(1).to_pylist():
             text = text or ""
             raw = np.frombuffer(text.encode(), np.uint8)
-            ids = np.array(encoding.encode_ordinary(text), np.int64)
+            ids = np.array(encode(encoding, text), np.int64)
             tokens = np.r_[0, np.cumsum(size[ids])]
             bounds = lines(raw)
             # bounds lie between characters; a token may begin or end within one
