@@ -204,13 +204,18 @@ def test_mix_draws_by_size(spark):
             assert n[5_000] == 1 and 2.5 < n[20] / n[5] < 6
 
 
+def expressed(text):
+    """The spans by Python's expressions."""
+    return sorted((m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(secrets.RULES.values()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least)
+
+
 def test_secrets_match_expressions(spark):
     rng = np.random.default_rng(3)
     bits = ["password", "token", "API_key", "secret ", "=", ":", " ", '"', "abcd", "0123456789abcdef", "deadbeef" * 4, "AKIA", "ABCDEFGH1234", "x", "\n", "ü", "eyJa.b.c", "ghp_" + "a1" * 20]
     docs = made(spark, ["".join(rng.choice(bits, size=int(n))) for n in rng.integers(0, 50, 400)])
     t = texts_of(docs)
     for r in secrets.find_secrets(docs).collect():
-        found = secrets.spans(t[r["doc_id"]], list(secrets.RULES))
+        found = expressed(t[r["doc_id"]] or "")
         assert r["spans"] == secrets._shown(found)
         base = [x for x in found if x[1] < 3]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[1] == k for x in base) for k in range(3))
@@ -219,12 +224,26 @@ def test_secrets_match_expressions(spark):
 
 def test_automaton_is_the_expressions():
     patterns = ["ab+c?", "(x|yz){2,3}d", "[0-9]{3}", r"\x41\.q*"]
-    dfa = Automaton(patterns)
+    dfa, back = Automaton(patterns), Automaton(patterns, backward=True)
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list("abcxyzd019A.q "), size=int(n))) for n in rng.integers(0, 40, 500)]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    got = dfa.scan(data, np.r_[0, np.cumsum([len(t) for t in texts])], lane=8)
-    assert [int(x) for x in got] == [sum(bool(re.search(p, t)) << k for k, p in enumerate(patterns)) for t in texts]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    want = [sum(bool(re.search(p, t)) << k for k, p in enumerate(patterns)) for t in texts]
+    for a, d, o in ((dfa, data, offs), (back, data[::-1], len(data) - offs[::-1])):
+        at, mask = a.hits(d, o, lane=8, warm=3)
+        got = np.zeros(len(texts), int)
+        np.bitwise_or.at(got, np.searchsorted(o, at, "right") - 1, mask)
+        assert got.tolist() == (want if a is dfa else want[::-1])
+    starts = {(i, m.start() + j) for i, t in enumerate(texts) for j in range(len(t)) if (m := re.match(patterns[1], t[j:]))}
+    at, mask = back.hits(data[::-1], len(data) - offs[::-1], lane=8)
+    at = len(data) - 1 - at[mask & 2 > 0]
+    assert {(int(np.searchsorted(offs, x, "right") - 1), int(x - offs[np.searchsorted(offs, x, "right") - 1])) for x in at} == starts
+
+
+def test_secrets_in_very_long_texts(spark):
+    texts = ["a" * 3_000_000, " " * 1_000_000 + "token=abcdefgh", "token" + " " * 500_000 + "= xyzxyzxyz", "f" * 31 + "\n" + "0" * 200_000 + "g", "password=" * 3_000]
+    for r, t in zip(secrets.find_secrets(made(spark, texts)).orderBy("doc_id").collect(), texts, strict=True):
+        assert r["spans"] == secrets._shown(expressed(t))
 
 
 def test_language_is_learned(spark):
@@ -355,3 +374,40 @@ def test_token_counts_cover_texts(spark, odd_docs):
             assert r["n_chars"] == len(x)
     with pytest.raises(ValueError):
         token_counts.token_counts(odd_docs, rule="other")
+
+
+def test_tokens_are_those_of_a_plain_encoder(spark):
+    """Merging pair after pair, the least rank first, in each piece of the pattern."""
+    import base64
+
+    import regex
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    def merged(piece):
+        parts = [bytes([b]) for b in piece]
+        while True:
+            best = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)) if len(parts) > 1 else (1 << 60, 0)
+            if best[0] == 1 << 60:
+                return parts
+            i = best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    texts = ["It's été\n\n  two  lines\t\nwith 123 numbers!?\n", "a\nb\n\nc", noise(3, 40) + "\n" + noise(4, 30), "北京 😀\n　x", " " * 1_200 + "\n" + " " * 1_100 + "a", "\n" * 1_500]
+    for r, t in zip(token_counts.token_counts(made(spark, texts), rule="start").orderBy("doc_id").collect(), texts, strict=True):
+        tokens = [x for p in regex.findall(token_counts.PATTERN, t) for x in merged(p.encode())]
+        ends = [m.end() for m in regex.finditer(b"\n", t.encode())]
+        ends += [len(t.encode())] if not t.endswith("\n") else []
+        want, at = [0] * len(ends), 0
+        for x in tokens:
+            want[next(i for i, e in enumerate(ends) if at < e)] += 1
+            at += len(x)
+        assert (r["n_tokens"], r["section_tokens"]) == (len(tokens), want)
+
+
+def test_very_long_white_space(spark):
+    texts = [" " * 1_000_000 + "a", "\n" * 300_000, "x" * 300_000]
+    got = token_counts.token_counts(made(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_chars"] for r in got] == [1_000_001, 300_000, 300_000]
+    assert all(sum(r["section_tokens"]) == r["n_tokens"] for r in got)

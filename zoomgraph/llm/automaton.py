@@ -76,13 +76,23 @@ class _Parser:
         return ("set", frozenset(found))
 
 
+def _turned(x):
+    """The expression of the reversed matches."""
+    kind, arg = x
+    if kind == "seq":
+        return kind, [_turned(y) for y in reversed(arg)]
+    return (kind, [_turned(y) for y in arg]) if kind == "or" else (kind, _turned(arg)) if kind == "star" else x
+
+
 class Automaton:
-    """One deterministic automaton that finds where a match of any pattern ends, from any start.
+    """One minimal deterministic automaton of several patterns.
 
     step[state * classes + kind[byte]] is the next state; state 0 is the start; states from ``accepting``
-    on end a match of the patterns in the bit mask ends[state]."""
+    on end a match of the patterns in the bit mask ends[state]. ``anywhere``: matches may begin at any byte, else
+    at the first only. ``backward``: bytes are read from the last to the first, so a match ends where, read
+    forward, it begins."""
 
-    def __init__(self, patterns: list[str]):
+    def __init__(self, patterns: list[str], anywhere: bool = True, backward: bool = False):
         edges: list[list[tuple[frozenset[int], int]]] = []
         free: list[list[int]] = []
 
@@ -113,7 +123,8 @@ class Automaton:
         for bit, p in enumerate(patterns):
             final = new()
             ends[final] = 1 << bit
-            add(_Parser(p).either(), start, final)
+            x = _Parser(p).either()
+            add(_turned(x) if backward else x, start, final)
         # bytes that no set tells apart form a class
         marks = [0] * 256
         for k, s in enumerate({s for es in edges for s, _ in es}):
@@ -137,7 +148,7 @@ class Automaton:
         for s in todo:
             row = []
             for c in sample:
-                t = close({b for a in s for symbols, b in edges[a] if c in symbols} | {start})
+                t = close({b for a in s for symbols, b in edges[a] if c in symbols} | ({start} if anywhere else set()))
                 if t not in number:
                     number[t] = len(number)
                     todo.append(t)
@@ -162,43 +173,62 @@ class Automaton:
         self.step = place[group[step[one[order]]]].astype(np.int32).ravel()
         self.ends = ended[one[order]]
         self.accepting = int((self.ends == 0).sum())
-        # pairs of classes after which every state is the start: texts may be cut there
-        s2 = self.step.reshape(-1, self.classes)
-        self.resets = np.array([[bool((s2[s2[:, a], b] == 0).all()) for b in range(self.classes)] for a in range(self.classes)])
+        rows = self.step.reshape(-1, self.classes)
+        stuck = np.flatnonzero((rows == np.arange(len(rows))[:, None]).all(1) & (self.ends == 0))
+        self.dead = int(stuck[0]) if len(stuck) else -1
+
+    def longest(self, data: bytes, start: int, end: int) -> int:
+        """Where the longest match that begins at ``start`` ends; -1 without one. For automata that begin at the first byte."""
+        step, kind, ends, width = self.step, self.kind, self.ends, self.classes
+        state, last = 0, -1
+        for i in range(start, end):
+            state = step[state * width + kind[data[i]]]
+            if state == self.dead:
+                break
+            if ends[state]:
+                last = i + 1
+        return last
 
-    def scan(self, data: np.ndarray, offs: np.ndarray, lane: int = 512) -> np.ndarray:
-        """For each document of a piece the mask of patterns that match in it; each byte is read once.
+    def hits(self, data: np.ndarray, offs: np.ndarray, lane: int = 512, warm: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(position, mask) of every byte of a piece of documents at which patterns end a match.
 
-        The piece is cut into lanes of about ``lane`` bytes where the automaton is back at its start; all
-        lanes of like length advance together, byte by byte."""
-        out = np.zeros(len(offs) - 1, np.int64)
+        The documents are cut into lanes, which advance together, byte by byte. A lane that does not begin a
+        document starts from the state that the ``warm`` bytes before it lead to; if the lane before ends in another
+        one, it runs again from there, until all agree: the states are exact whatever the text."""
         n = len(data)
         if not n:
-            return out
-        k = self.kind[data]
-        free = np.zeros(n, bool)
-        free[2:] = self.resets[k[:-2], k[1:-1]]
-        begins = np.unique(offs[:-1][np.diff(offs) > 0])
-        # a pair that spans two documents says nothing of the later one
-        free[begins[begins + 1 < n] + 1] = False
-        free[begins] = True
-        at = np.flatnonzero(free)
-        goal = np.searchsorted(at, np.arange(0, n, lane))
-        cuts = np.unique(np.r_[at[goal[goal < len(at)]], begins])
-        size = np.diff(np.r_[cuts, n])
-        level = np.ceil(np.log2(np.maximum(size, lane))).astype(int)
-        k = np.r_[k, np.uint8(0)]
-        for lv in np.unique(level):
-            s, z = cuts[level == lv], size[level == lv]
-            order = np.argsort(-z, kind="stable")
-            s, z = s[order], z[order]
-            active = np.searchsorted(-z, -np.arange(1, z[0] + 1), "right")
-            state = np.zeros(len(s), np.int32)
-            for t in range(int(z[0])):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = self.kind[data].astype(np.int32)
+        size = np.diff(offs)
+        lanes = -(-size // lane)
+        head = np.cumsum(lanes) - lanes
+        nth = np.arange(lanes.sum()) - np.repeat(head, lanes)
+        start = np.repeat(offs[:-1], lanes) + nth * lane
+        length = np.minimum(lane, np.repeat(offs[1:], lanes) - start)
+        inner = np.flatnonzero(nth > 0)
+        entry = np.zeros(len(start), np.int32)
+        for t in range(-min(warm, lane), 0):
+            entry[inner] = self.step[entry[inner] * self.classes + k[start[inner] + t]]
+        final, version, found, todo, turn = entry.copy(), np.zeros(len(start), np.int32), [], np.arange(len(start)), 0
+        while len(todo):
+            todo = todo[np.argsort(-length[todo], kind="stable")]
+            version[todo] = turn
+            s, active = start[todo], np.searchsorted(-length[todo], -np.arange(1, length[todo[0]] + 1), "right")
+            state = entry[todo]
+            for t in range(length[todo[0]]):
                 m = active[t]
                 now = self.step[state[:m] * self.classes + k[s[:m] + t]]
                 state[:m] = now
                 if now.max() >= self.accepting:
                     hit = np.flatnonzero(now >= self.accepting)
-                    np.bitwise_or.at(out, np.searchsorted(offs, s[hit] + t, "right") - 1, self.ends[now[hit]])
-        return out
+                    found.append((todo[hit], np.full(len(hit), turn, np.int32), s[hit] + t, self.ends[now[hit]]))
+            final[todo] = state
+            todo = inner[final[inner - 1] != entry[inner]]
+            entry[todo] = final[todo - 1]
+            turn += 1
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        of, when, at, mask = (np.concatenate(x) for x in zip(*found, strict=True))
+        ok = version[of] == when
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], mask[ok][order]

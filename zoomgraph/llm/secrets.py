@@ -1,16 +1,18 @@
 """Secret scan with one combined deterministic automaton.
 
 All rules are compiled together to a minimal automaton (automaton.py) that reads every byte of every text
-once and tells which rules can match in which document. Only there the exact expressions then give the
-leftmost, non-overlapping spans."""
+once, from the last to the first, and so tells at which bytes a match of which rule begins. From the leftmost
+beginning that no match before it covers, the rule's own automaton goes forward to the longest match's end: only bytes
+of matches are read again. In the rules no two ways of matching end differently, so the longest match is
+that of the expression."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,50 +37,61 @@ RULES = {
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
     "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 }
-#: The beginnings of the rules, up to their least length where the automaton stays small with it: what a
-#: text must hold for the rule of the same place to match in it.
-FOUND = [
-    _KEY + _GAP + "[A-Za-z0-9+/_.=-]{8}",
-    "AKIA[A-Z0-9]{12}",
-    "[0-9a-f]{32}",
-    "gh[pousr]_[A-Za-z0-9]{2}",
-    "xox[abprs]-[A-Za-z0-9-]{2}",
-    "eyJ[A-Za-z0-9_-]",
-    "PRIVATE KEY-----",
-]
+#: What the combined automaton looks for: the rules, but for the one whose matches are whole runs, and so reach their
+#: least length or none of their beginnings does.
+FOUND = [{"hex": "[0-9a-f]{32}"}.get(name, pattern) for name, (pattern, _, _) in RULES.items()]
+#: What comes before the group whose length counts.
+HEADS = {"assign": _KEY + _GAP}
 BASE = ("assign", "access", "hex")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def spans(text: str, kinds) -> list[tuple[int, int, int]]:
-    """(start, place of the kind, end) of the rules' matches, in code points."""
-    out = []
-    for k, (name, (pattern, group, least)) in enumerate(RULES.items()):
-        if name in kinds:
-            out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
-    return sorted(out)
-
-
 def _shown(found) -> str:
     names = list(RULES)
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in found)
 
 
 @cache
-def compiled() -> Automaton:
-    return Automaton(FOUND)
+def compiled() -> tuple[Automaton, list[Automaton], dict[int, Automaton]]:
+    """The combined automaton, each rule's own, and those of the rules' heads by the rule's place."""
+    alone = lambda p: Automaton([p], anywhere=False)
+    return Automaton(FOUND, backward=True), [alone(p) for p, _, _ in RULES.values()], {list(RULES).index(n): alone(p) for n, p in HEADS.items()}
+
+
+def spans(automata, data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """For each document of a piece that has any: (start, place of the kind, end) of the rules' matches, in code points."""
+    every, own, heads = automata
+    n, out = len(data), {}
+    at, mask = every.hits(data[::-1], n - offs[::-1])
+    at, mask = (n - 1 - at)[::-1], mask[::-1]
+    doc = np.searchsorted(offs, at, "right") - 1
+    for d in np.unique(doc):
+        here, lo, hi = doc == d, int(offs[d]), int(offs[d + 1])
+        raw, found = data[lo:hi].tobytes(), []
+        for k, (_, _, least) in enumerate(RULES.values()):
+            begins = at[here & (mask >> k & 1 > 0)] - lo
+            i = 0
+            while i < len(begins):
+                s = int(begins[i])
+                e = own[k].longest(raw, s, hi - lo)
+                if e - (heads[k].longest(raw, s, e) if k in heads else s) >= least:
+                    found.append((s, k, e))
+                i = int(np.searchsorted(begins, e))
+        if found:
+            chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+            out[int(d)] = sorted((int(chars[s]), k, int(chars[e])) for s, k, e in found)
+    return out
 
 
 def _scan(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    dfa, names = sent.value, list(RULES)
+    automata = sent.value
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
-        text = batch.column(1)
         counts, sha, shown = [[], [], []], [], []
-        for lo, hi, data, offs in pieces(text):
-            masks = dfa.scan(data, offs)
+        for lo, hi, data, offs in pieces(batch.column(1)):
+            all_found = spans(automata, data, offs)
             for j in range(hi - lo):
-                found = spans(text[lo + j].as_py(), [n for k, n in enumerate(names) if masks[j] >> k & 1]) if masks[j] else []
+                found = all_found.get(j, [])
                 base = [x for x in found if x[1] < len(BASE)]
                 for k in range(len(BASE)):
                     counts[k].append(sum(x[1] == k for x in base))
