@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zoomgraph.llm import decontaminate, fingerprint, language, lm, mixing, ngram_join, secrets, sharding, substrings, token_counts
+from zoomgraph.llm import decontaminate, fingerprint, language, lm, mixing, ngram_join, recurrent, secrets, sharding, substrings, token_counts
 from zoomgraph.llm.automaton import Automaton
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -329,6 +329,71 @@ def test_lm_base_and_gain(spark):
     assert sum(rows[i]["score"] - rows[i]["base_score"] for i in held) > 0
 
 
+@pytest.fixture
+def small_net(monkeypatch):
+    for name, value in {"HIDDEN": 5, "CLASSES": 3, "CLASS": 4, "WORDS": 12, "REST": 12, "TRUNCATE": 6}.items():
+        monkeypatch.setattr(recurrent, name, value)
+    rng = np.random.default_rng(17)
+    return {k: rng.standard_normal(x.shape) * 0.5 for k, x in recurrent.start(np.arange(1.0, 13), 5.0).items()}
+
+
+def test_gradient_agrees_with_differences(small_net):
+    rng, p, end = np.random.default_rng(18), small_net, 2
+    words, before, h0 = rng.integers(0, 13, (4, 6)), np.array([2, 1, 2, 5]), rng.standard_normal((4, 5)) * [[0], [1], [0], [1]]
+    valid = np.arange(6) < np.array([6, 6, 3, 5])[:, None]
+    g = recurrent.zeros(p)
+    recurrent.gradient(p, words, h0, before, valid, end, g)
+    g = recurrent.whole(p, g)
+    loss = lambda: -recurrent.gradient(p, words, h0, before, valid, end, recurrent.zeros(p))[1]
+    for k, x in p.items():
+        for i in rng.choice(x.size, min(x.size, 25), replace=False):
+            at, step = np.unravel_index(i, x.shape), 1e-5
+            x[at] += step
+            up = loss()
+            x[at] -= 2 * step
+            down = loss()
+            x[at] += step
+            assert (up - down) / (2 * step) == pytest.approx(g[k][at], abs=1e-6)
+
+
+def test_probabilities_sum_to_one_and_windows_do_not_matter(small_net, monkeypatch):
+    p, end = small_net, 2
+    h = np.random.default_rng(19).standard_normal((7, 5))
+    total = sum(np.exp(recurrent.log_prob(p, h, np.full(7, w))) for w in range(13))
+    np.testing.assert_allclose(total, 1)
+    words = np.random.default_rng(20).integers(0, 13, 60)
+    words[[9, 10, 59]] = end
+    first = np.array([0, 10, 11, 60])
+    whole = recurrent.score(p, words, first, end)
+    monkeypatch.setattr(recurrent, "WINDOW", 3)
+    np.testing.assert_allclose(recurrent.score(p, words, first, end), whole)
+    for d in range(3):  # word by word
+        state, last, lp = np.zeros((1, 5)), end, 0.0
+        for x in words[first[d] : first[d + 1]]:
+            state = recurrent.step(p, p["embed"][[last]] @ p["input"] + p["bias"], state)[0]
+            lp, last = lp + recurrent.log_prob(p, state, np.array([x]))[0], x
+        assert whole[d] == pytest.approx(lp)
+
+
+def test_trainer_reads_every_word_once_with_its_state(small_net, monkeypatch):
+    docs = [np.r_[np.random.default_rng(i).integers(3, 13, n), 2].astype(np.int16) for i, n in enumerate([0, 3, 40, 7, 100, 1, 1, 25])]
+    seen, real = [], recurrent.gradient
+
+    def spy(p, words, h0, before, valid, end, g):
+        h, lp = real(p, words, h0, before, valid, end, g)
+        seen.append((words[valid], lp))
+        return h, lp
+
+    monkeypatch.setattr(recurrent, "gradient", spy)
+    trainer = recurrent.Trainer(small_net, 2, 3, rate=0.0)
+    trainer.learn(docs[:4])
+    trainer.learn(docs[4:], True)
+    assert Counter(np.concatenate([x for x, _ in seen]).tolist()) == Counter(np.concatenate(docs).tolist())
+    flat = np.concatenate(docs).astype(np.int64)
+    want = recurrent.score(small_net, flat, np.r_[0, np.cumsum([len(d) for d in docs])], 2).sum()
+    assert sum(lp for _, lp in seen) == pytest.approx(want)  # with weights that stay, all states are those of scoring
+
+
 def test_wand_is_exact():
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, size=int(rng.integers(3, 30))) % 60)) for i in range(100)]

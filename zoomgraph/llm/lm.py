@@ -2,9 +2,9 @@
 
 1. Words of all training documents are counted in hash buckets; the most frequent (a bounded list) are sent
    to the tasks, all others are looked up by shuffle.
-2. Training spans, two truncation windows long, are drawn by hash from every training document: one of each
-   and more in proportion to its length. Each task trains the network on its spans from common weights,
-   and the weights are averaged; ROUNDS times.
+2. Each task trains the network from common weights on its training documents, each whole and to its end token, the
+   state carried along; the weights are averaged. ROUNDS times, each with another part of the documents, so every
+   training word is learned from once.
 3. Every document is scored to its end with its state carried along. Words without an output of their own
    share P(rest), dealt by (count + 0.1): the score is a proper log probability of the text.
 4. For words beyond the frequent list, documents send hashes to the buckets and get back sums."""
@@ -26,7 +26,9 @@ from .textkit import bucket_bits, groups, mix, pack7, pieces, unpack7, words
 LOW = -(2**63)
 #: Longest list of frequent words that is sent to tasks; words that a task gathers before it reduces them.
 FREQUENT, FLUSH = 1 << 18, 1 << 21
-SPAN, EXTRA, ROUNDS, PART_SPANS = 2 * net.TRUNCATE, 64, 2, 16_384
+#: Averages of the weights; words of a task in one round at least, if there are as many; words that a task feeds to its
+#: lanes at once; the most lanes, and the words for which there is one.
+ROUNDS, TASK, FEED, LANES, LANE = 2, 1 << 20, 1 << 21, 1024, 2048
 #: The hash of the end token, which no word has but by chance.
 END = np.uint64(0x9D3C1F2B5A7E4C11)
 
@@ -100,44 +102,35 @@ def _ids(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(rank, net.REST), np.where(hit, at, -1)
 
 
-def _spans(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            out = []
-            for _, ids, train, h, first in _docs(batch):
-                w = _ids(model, h)[0].astype(np.int16)
-                n = np.diff(first)
-                slots = np.maximum(1, n // SPAN)
-                doc = np.repeat(np.arange(len(ids)), slots)
-                slot = np.arange(len(doc)) - np.repeat(np.cumsum(slots) - slots, slots)
-                draw = mix(mix(ids.view(np.uint64))[doc] + slot.astype(np.uint64))
-                one = mix(ids.view(np.uint64) ^ np.uint64(0x55)) % slots.astype(np.uint64)
-                take = np.flatnonzero(train[doc] & ((slot == one[doc].astype(np.int64)) | (draw % np.uint64(EXTRA) == 0)))
-                # a document shorter than a span is read round and round, its end token between
-                at = first[doc[take]][:, None] + (slot[take][:, None] * SPAN + np.arange(SPAN)) % n[doc[take]][:, None]
-                out.append(w[at])
-            x = np.concatenate(out) if out else np.zeros((0, SPAN), np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["span"])
-
-    return run
+#: Numbers of the weights in one row of a task.
+CHUNK = 1024
 
 
-CHUNKS = 16
+def _train(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, trainer, held, size, n = sent.value, None, [], 0, 0
 
+        def feed(last: bool):
+            nonlocal trainer, held, size
+            if trainer is None:
+                trainer = net.Trainer(model["net"], model["end"], min(LANES, max(8, size // LANE)))
+            trainer.learn(held, last)
+            held, size = [], 0
 
-def _train(sent, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        x = [np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, SPAN) for b in batches if b.num_rows]
-        if not x:
+        for batch in batches:
+            for _, _, _, h, first in _docs(batch):
+                w = _ids(model, h)[0].astype(np.int16)
+                held += [w[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                size += len(w)
+                n += len(w)
+                if size >= FEED:
+                    feed(False)
+        if not n:
             return
-        x = np.concatenate(x)
-        x = x[np.lexsort(x.T)]  # the same weights whatever order the rows came in
-        p = net.fit(model["net"], x, model["end"], seed=seed)
-        flat = np.concatenate([p[k].ravel() for k in net.NAMES])
-        parts = np.array_split(flat, CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([q.tobytes() for q in parts], pa.binary()), pa.array([float(len(x))] * CHUNKS)], ["chunk", "weights", "n"])
+        feed(True)
+        flat = np.concatenate([trainer.p[k].ravel() for k in net.NAMES])
+        parts = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([q.tobytes() for q in parts], pa.binary()), pa.array([float(n)] * len(parts))], ["chunk", "weights", "n"])
 
     return run
 
@@ -258,9 +251,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counted = texts.mapInArrow(_count(bits), "bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(_merge(bits), "bucket int, grams binary, counts binary, top binary, top_c binary, n long, v long")
     counted = cut(counted)
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    tops = counted.select("top", "top_c").toPandas()
-    h = np.frombuffer(b"".join(tops["top"]), np.uint64)
-    c = np.frombuffer(b"".join(tops["top_c"]), np.int64)
+    tops = counted.select("top", "top_c").toArrow()
+    h = np.frombuffer(b"".join(tops.column("top").to_pylist()), np.uint64)
+    c = np.frombuffer(b"".join(tops.column("top_c").to_pylist()), np.int64)
     order = np.lexsort((h, -c))[:FREQUENT]
     h, c = h[order], c[order]
     if END not in h:  # nothing was learned, or the end is rarer than the list's last word
@@ -281,16 +274,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         "log_rest": float(np.log10(rest_mass + 0.1 * (max(0, v - net.WORDS) + 1))),
     }
     sc = spark.sparkContext
-    spans = cut(texts.where("train").mapInArrow(_spans(sc.broadcast(model)), "span binary"))
-    rows = spans.count()
-    parts = max(1, -(-rows // PART_SPANS))
-    for r in range(ROUNDS if rows else 0):
-        dealt = spans.repartition(parts, F.xxhash64("span", F.lit(r)))
-        got = dealt.mapInArrow(_train(sc.broadcast(model), r), "chunk int, weights binary, n double")
+    parts = max(1, -(-int(n) // (ROUNDS * TASK)))
+    for r in range(ROUNDS if n else 0):
+        share = texts.where(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r))
+        got = share.coalesce(parts).mapInArrow(_train(sc.broadcast(model)), "chunk int, weights binary, n double")
         # each task's weights are averaged with some others' first
         mean = got.withColumn("some", F.pmod(F.xxhash64("n", F.spark_partition_id()), F.lit(max(1, int(parts**0.5)))))
         mean = mean.groupBy("chunk", "some").applyInArrow(_mean, "chunk int, weights binary, n double").groupBy("chunk").applyInArrow(_mean, "chunk int, weights binary, n double")
-        flat = np.concatenate([np.frombuffer(x["weights"], np.float32) for x in sorted(mean.collect(), key=lambda x: x["chunk"])])
+        rows = sorted(mean.select("chunk", "weights").collect(), key=lambda x: x["chunk"])
+        if not rows:  # no document in this part
+            continue
+        flat = np.concatenate([np.frombuffer(x["weights"], np.float32) for x in rows])
         at, p = 0, {}
         for k in net.NAMES:
             size = model["net"][k].size

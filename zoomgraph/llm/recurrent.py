@@ -5,10 +5,12 @@ all others and is a class by itself."""
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: WINDOW: words that go through the output layer at once; TRUNCATE: words that gradients go back.
-HIDDEN, CLASSES, CLASS, WINDOW, TRUNCATE = 16, 64, 64, 32, 16
+HIDDEN, CLASSES, CLASS, WINDOW, TRUNCATE = 24, 64, 64, 32, 16
 WORDS = CLASSES * CLASS
 REST = WORDS
 NAMES = ("embed", "input", "bias", "gates", "cand", "class_w", "class_b", "word_w", "word_b")
@@ -45,106 +47,180 @@ def step(p: dict, x: np.ndarray, h: np.ndarray):
     return c + z * (h - c), z, r, c
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax_error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probabilities of the outputs ``at`` of scores x, which become probabilities less one at ``at``."""
+    i = np.arange(len(at))
+    x -= x.max(1, keepdims=True)
+    lp = x[i, at]
+    np.exp(x, out=x)
+    s = x.sum(1, keepdims=True)
+    x /= s
+    x[i, at] -= 1
+    return lp - np.log(s[:, 0])
+
+
+#: Rows that go through the class layer at once.
+ROWS = 1024
+
+
+def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    lp = x[np.arange(len(at)), at]
+    np.exp(x, out=x)
+    return lp - np.log(x.sum(1))
 
 
 def log_prob(p: dict, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log probability of each word after state h; of a word of no class, that of ``rest``."""
-    c = word // CLASS
-    out = h @ p["class_w"] + p["class_b"]
-    top = out.max(1)
-    lp = out[np.arange(len(word)), c] - top - np.log(np.exp(out - top[:, None]).sum(1))
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        i = order[bounds[k] : bounds[k + 1]]
-        if len(i):
-            x = h[i] @ p["word_w"][k] + p["word_b"][k]
-            m = x.max(1)
-            lp[i] += x[np.arange(len(i)), word[i] - k * CLASS] - m - np.log(np.exp(x - m[:, None]).sum(1))
-    return lp
-
-
-def gradient(p: dict, words: np.ndarray, h0: np.ndarray, before: np.ndarray):
-    """Loss gradient of one window (n, t) by backpropagation that stops at the window's start state.
-
-    before: the word ahead of each window. Returns gradients, the end state and the mean log probability."""
+    order = np.argsort((word // CLASS).astype(np.int16), kind="stable")  # so that each class has its rows side by side
+    hh, at = h[order], word[order]
+    c = at // CLASS
+    bounds = np.searchsorted(c, np.arange(CLASSES + 1))
+    lp, out = np.empty(len(at), h.dtype), np.empty(len(at), h.dtype)
+    for a in range(0, len(at), ROWS):
+        lp[a : a + ROWS] = _log_chosen(hh[a : a + ROWS] @ p["class_w"] + p["class_b"], c[a : a + ROWS])
+    for k in np.flatnonzero(np.diff(bounds)):
+        a, b = bounds[k], bounds[k + 1]
+        lp[a:b] += _log_chosen(hh[a:b] @ p["word_w"][k] + p["word_b"][k], at[a:b] - k * CLASS)
+    out[order] = lp
+    return out
+
+
+def zeros(p: dict) -> dict:
+    """Sums of gradients to add to. Those of the embedding are kept as rows until ``whole``."""
+    return {k: np.zeros_like(v) for k, v in p.items() if k != "embed"} | {"at": [], "by": []}
+
+
+def whole(p: dict, g: dict) -> dict:
+    at, by = np.concatenate(g.pop("at")), np.concatenate(g.pop("by"))
+    g["embed"] = np.stack([np.bincount(at, by[:, j], WORDS + 1) for j in range(HIDDEN)], 1).astype(p["embed"].dtype)
+    return g
+
+
+def gradient(p: dict, words: np.ndarray, h0: np.ndarray, before: np.ndarray, valid: np.ndarray, end: int, g: dict):
+    """Add to g the gradient of the negative log probability of one window (n, t), by backpropagation that stops at
+    the window's start.
+
+    before: the word ahead of each window; after an ``end`` token a new document begins, with a state of
+    zeros. Places that are not ``valid`` lie behind a lane's end and do not count. Returns the state behind the
+    window and the sum of log probabilities."""
     n, t_len = words.shape
-    g = {k: np.zeros_like(v) for k, v in p.items()}
     ins = np.concatenate([before[:, None], words[:, :-1]], 1)
+    go_on = (ins != end).astype(p["embed"].dtype)[:, :, None]
     e = p["embed"][ins]
     x = e @ p["input"] + p["bias"]
-    hs, keep = [h0], []
+    hs, keep, h = [], [], h0
+    out = np.empty((n, t_len, HIDDEN), x.dtype)
     for t in range(t_len):
+        hs.append(h * go_on[:, t])
         h, z, r, c = step(p, x[:, t], hs[-1])
-        hs.append(h)
+        out[:, t] = h
         keep.append((z, r, c))
-    hh = np.stack(hs[1:], 1).reshape(n * t_len, HIDDEN)
+    # by class, so that each class has its rows side by side
     flat = words.ravel()
-    cls = flat // CLASS
-    lc = _log_softmax(hh @ p["class_w"] + p["class_b"])
-    lp = lc[np.arange(len(flat)), cls]
-    dc = np.exp(lc)
-    dc[np.arange(len(flat)), cls] -= 1
-    dc /= len(flat)
-    g["class_w"], g["class_b"] = hh.T @ dc, dc.sum(0)
-    dh = dc @ p["class_w"].T
+    cls = np.where(valid.ravel(), flat // CLASS, CLASSES + 1)
     order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        i = order[bounds[k] : bounds[k + 1]]
-        if len(i):
-            lw = _log_softmax(hh[i] @ p["word_w"][k] + p["word_b"][k])
-            at = flat[i] - k * CLASS
-            lp[i] += lw[np.arange(len(i)), at]
-            dw = np.exp(lw)
-            dw[np.arange(len(i)), at] -= 1
-            dw /= len(flat)
-            g["word_w"][k], g["word_b"][k] = hh[i].T @ dw, dw.sum(0)
-            dh[i] += dw @ p["word_w"][k].T
-    dh = dh.reshape(n, t_len, HIDDEN)
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 2))
+    order = order[: bounds[-1]]
+    hh, at, cls = out.reshape(n * t_len, HIDDEN)[order], flat[order], cls[order]
+    lp, dh = np.empty(len(order), x.dtype), np.empty_like(hh)
+    for a in range(0, len(order), ROWS):
+        b = min(a + ROWS, len(order))
+        y = hh[a:b] @ p["class_w"] + p["class_b"]
+        lp[a:b] = _softmax_error(y, cls[a:b])
+        g["class_w"] += hh[a:b].T @ y
+        g["class_b"] += y.sum(0)
+        dh[a:b] = y @ p["class_w"].T
+    for k in np.flatnonzero(np.diff(bounds[: CLASSES + 1])):
+        a, b = bounds[k], bounds[k + 1]
+        y = hh[a:b] @ p["word_w"][k] + p["word_b"][k]
+        lp[a:b] += _softmax_error(y, at[a:b] - k * CLASS)
+        g["word_w"][k] += hh[a:b].T @ y
+        g["word_b"][k] += y.sum(0)
+        dh[a:b] += y @ p["word_w"][k].T
+    back_to = np.zeros((n * t_len, HIDDEN), x.dtype)
+    back_to[order] = dh
+    dh = back_to.reshape(n, t_len, HIDDEN)
     dx = np.empty_like(x)
-    back = np.zeros((n, HIDDEN), np.float32)
+    back = np.zeros((n, HIDDEN), x.dtype)
     for t in range(t_len - 1, -1, -1):
         z, r, c = keep[t]
-        h = hs[t]
+        h_in = hs[t]
         d = dh[:, t] + back
         dcand = d * (1 - z) * (1 - c * c)
         drh = dcand @ p["cand"].T
-        dz = d * (h - c) * z * (1 - z)
-        dr = drh * h * r * (1 - r)
-        dzr = np.concatenate([dz, dr], 1)
-        g["gates"] += h.T @ dzr
-        g["cand"] += (r * h).T @ dcand
-        dx[:, t] = np.concatenate([dzr, dcand], 1)
-        back = d * z + drh * r + dzr @ p["gates"].T
+        rh = r * h_in
+        dzr = dx[:, t, : 2 * HIDDEN]
+        dzr[:, :HIDDEN] = d * (h_in - c) * z * (1 - z)
+        dzr[:, HIDDEN:] = drh * rh * (1 - r)
+        dx[:, t, 2 * HIDDEN :] = dcand
+        g["gates"] += h_in.T @ dzr
+        g["cand"] += rh.T @ dcand
+        back = (d * z + drh * r + dzr @ p["gates"].T) * go_on[:, t]
     fx = dx.reshape(n * t_len, -1)
-    g["input"], g["bias"] = e.reshape(n * t_len, HIDDEN).T @ fx, fx.sum(0)
-    np.add.at(g["embed"], ins.ravel(), fx @ p["input"].T)
-    return g, hs[-1], float(lp.mean())
-
-
-def fit(p: dict, spans: np.ndarray, end: int, epochs: int = 1, rate: float = 0.01, seed: int = 0) -> dict:
-    """Adam over spans (n, windows * TRUNCATE): state goes on from window to window, gradients do not."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    size = int(min(512, max(8, len(spans) // 64)))
-    rng, t = np.random.default_rng(seed), 0
-    for _ in range(epochs):
-        for b in np.array_split(rng.permutation(len(spans)), max(1, len(spans) // size)):
-            h, before = np.zeros((len(b), HIDDEN), np.float32), np.full(len(b), end)
-            for lo in range(0, spans.shape[1], TRUNCATE):
-                x = spans[b, lo : lo + TRUNCATE].astype(np.int64)
-                g, h, _ = gradient(p, x, h, before)
-                before = x[:, -1]
-                t += 1
-                for k in p:
-                    m[k] += 0.1 * (g[k] - m[k])
-                    v[k] += 0.001 * (g[k] ** 2 - v[k])
-                    p[k] -= (rate / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return p
+    g["input"] += e.reshape(n * t_len, HIDDEN).T @ fx
+    g["bias"] += fx.sum(0)
+    g["at"].append(ins.ravel())
+    g["by"].append(fx @ p["input"].T)
+    return h, float(lp.sum())
+
+
+class Trainer:
+    """Adam over whole documents, each ending with ``end``, by truncated backpropagation.
+
+    Documents go one after the other through lanes, which advance together by windows: the state goes on
+    from window to window to a document's end, gradients do not. Every word is learned from once."""
+
+    def __init__(self, p: dict, end: int, lanes: int, rate: float = 0.01):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.end, self.lanes, self.rate, self.t = end, lanes, rate, 0
+        self.h, self.before = np.zeros((lanes, HIDDEN), p["embed"].dtype), np.full(lanes, end)
+        self.queue: list[np.ndarray] = [np.zeros(0, np.int16)] * lanes
+        self.sums, self.seen = zeros(p), 0
+
+    def _update(self) -> None:
+        if not self.seen:
+            return
+        self.t += 1
+        for k, g in whole(self.p, self.sums).items():
+            g /= self.seen
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.p[k] -= (self.rate / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+        self.sums, self.seen = zeros(self.p), 0
+
+    def learn(self, docs: list[np.ndarray], last: bool = False) -> None:
+        """Add documents and learn until a quarter of the lanes has nothing left; with ``last``, to the end.
+
+        A lane that ran out waits for the next documents, so long ones keep no other lane from going on."""
+        load = [(len(q), i) for i, q in enumerate(self.queue)]
+        heapq.heapify(load)
+        parts = [[q] for q in self.queue]
+        for d in sorted(docs, key=len, reverse=True):
+            n, i = load[0]
+            parts[i].append(d)
+            heapq.heapreplace(load, (n + len(d), i))
+        flat = np.concatenate([x for q in parts for x in q])
+        size = np.array([sum(map(len, q)) for q in parts])
+        stop = np.cumsum(size)
+        at = stop - size
+        while True:
+            i = np.flatnonzero(at < stop)
+            if not len(i) or (not last and 4 * len(i) < 3 * self.lanes):
+                break
+            place = at[i, None] + np.arange(TRUNCATE)
+            valid = place < stop[i, None]
+            x = flat[np.where(valid, place, at[i, None])].astype(np.int64)
+            h, _ = gradient(self.p, x, self.h[i], self.before[i], valid, self.end, self.sums)
+            self.h[i], self.before[i] = h, np.where(valid[:, -1], x[:, -1], self.end)
+            at[i] = np.minimum(at[i] + TRUNCATE, stop[i])
+            self.seen += int(valid.sum())
+            if 2 * self.seen >= self.lanes * TRUNCATE:
+                self._update()
+        self.queue = [flat[a:b] for a, b in zip(at, stop, strict=True)]
+        if last:
+            self._update()
 
 
 def score(p: dict, words: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -156,7 +232,7 @@ def score(p: dict, words: np.ndarray, first: np.ndarray, end: int) -> np.ndarray
     s, n = first[:-1][order], size[order]
     out = np.zeros(len(n))
     table = p["embed"] @ p["input"] + p["bias"]
-    h, last = np.zeros((len(n), HIDDEN), np.float32), np.full(len(n), end)
+    h, last = np.zeros((len(n), HIDDEN), table.dtype), np.full(len(n), end)
     for lo in range(0, int(n[0]) if len(n) else 0, WINDOW):
         c = int(np.searchsorted(-n, -lo))  # documents longer than lo
         hs, ws, ds = [], [], []
@@ -170,7 +246,7 @@ def score(p: dict, words: np.ndarray, first: np.ndarray, end: int) -> np.ndarray
             ws.append(last[:m].copy())
             ds.append(m)
         lp = log_prob(p, np.concatenate(hs), np.concatenate(ws))
-        np.add.at(out, np.concatenate([np.arange(m) for m in ds]), lp)
+        out[: ds[0]] += np.bincount(np.concatenate([np.arange(m) for m in ds]), lp, ds[0])
     res = np.empty(len(n))
     res[order] = out
     return res
