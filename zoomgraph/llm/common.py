@@ -76,6 +76,11 @@ def join_small(rows: DataFrame, table: DataFrame, key: str, spread: Column, how:
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add: its own outputs win over clashing names."""
     low = {n.lower() for n in names}

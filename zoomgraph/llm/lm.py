@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent as net
-from .common import cut, table
+from .common import cut, table, text_bytes
 from .language import held_out
 from .textkit import bucket_bits, groups, mix, pack7, pieces, unpack7, words
 
@@ -28,7 +28,7 @@ LOW = -(2**63)
 FREQUENT, FLUSH = 1 << 18, 1 << 21
 #: Averages of the weights; words of a task in one round at least, if there are as many; words that a task feeds to its
 #: lanes at once; the most lanes, and the words for which there is one.
-ROUNDS, TASK, FEED, LANES, LANE = 2, 1 << 20, 1 << 21, 1024, 2048
+ROUNDS, TASK, FEED, LANES, LANE = 2, 1 << 21, 1 << 21, 512, 4096
 #: The hash of the end token, which no word has but by chance.
 END = np.uint64(0x9D3C1F2B5A7E4C11)
 
@@ -87,7 +87,7 @@ def _merge(bits: int):
         h = (h & np.uint64(2 ** (64 - bits) - 1)) | (np.uint64(b) << np.uint64(64 - bits))
         h, at = np.unique(h, return_inverse=True)
         c = np.bincount(at, c).astype(np.int64)
-        top = np.lexsort((h, -c))[: FREQUENT >> max(0, bits - 4)]  # enough for any even share sixteenfold
+        top = np.lexsort((h, -c))[: FREQUENT >> max(0, bits - 2)]  # four times an even share; what is cut off is looked up by shuffle
         return pa.table({"bucket": pa.array([b], pa.int32()), "grams": [pack7(h)], "counts": [c.tobytes()], "top": [h[top].tobytes()], "top_c": [c[top].tobytes()], "n": pa.array([int(c.sum())]), "v": pa.array([len(h)])})
 
     return run
@@ -246,8 +246,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     beyond the frequent list add (of equal texts, what each adds). With nothing to learn
     from every count is 0. Empty input gives an empty result; further columns are not carried."""
     spark = docs.sparkSession
-    bits = bucket_bits(1 << 25)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out(10, 0)).alias("train"))
+    bits = bucket_bits(text_bytes(texts) // 6, 1 << 19)  # about six bytes a word
     counted = texts.mapInArrow(_count(bits), "bucket int, grams binary, counts binary").groupBy("bucket").applyInArrow(_merge(bits), "bucket int, grams binary, counts binary, top binary, top_c binary, n long, v long")
     counted = cut(counted)
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()

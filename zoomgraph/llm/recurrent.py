@@ -10,7 +10,7 @@ import heapq
 import numpy as np
 
 #: WINDOW: words that go through the output layer at once; TRUNCATE: words that gradients go back.
-HIDDEN, CLASSES, CLASS, WINDOW, TRUNCATE = 24, 64, 64, 32, 16
+HIDDEN, CLASSES, CLASS, WINDOW, TRUNCATE = 24, 64, 64, 32, 32
 WORDS = CLASSES * CLASS
 REST = WORDS
 NAMES = ("embed", "input", "bias", "gates", "cand", "class_w", "class_b", "word_w", "word_b")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_bytes
 from .textkit import bucket_bits, groups, mix, pack7, pieces, unpack7, windows, words
 
 LOW = -(2**63)
@@ -155,9 +155,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, text: bool = True) -> Data
     A null doc_id counts as smaller than all others; rows that repeat an id are judged alike and not
     against each other. Empty input gives an empty result; further columns are not carried."""
     spark = docs.sparkSession
-    bits = bucket_bits(1 << 25)
-    n = 2**bits
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = bucket_bits(text_bytes(texts) // 6, 1 << 21)  # about six bytes a word
+    n = 2**bits
     sent = texts.mapInArrow(_scatter(window, bits), PACKED)
     flags = sent.groupBy("bucket").applyInArrow(_gather(n, bits), "grp int, bucket int, ids binary, counts binary, hashes binary")
     keyed = texts.mapInArrow(_with_group(n), "grp int, doc_id long, text string")
