@@ -112,8 +112,8 @@ _SCORES = f"{_PROFILE}, z AS (SELECT focus, sigma_idx, 0.5::DOUBLE * ({_Z.format
 _MAD = f"{_SCORES}, md AS (SELECT focus, median(s) AS m FROM z GROUP BY focus), th AS (SELECT focus, any_value(m) + greatest(median(abs(s - m)), 1e-10) AS threshold FROM z JOIN md USING (focus) GROUP BY focus)"
 _TAN = "atanh(least(n, 1 - 1e-7)) / n * (1 - mm)"
 SQL = {
-    "representation_velocity": f"WITH {POINTS} SELECT a.id::INTEGER AS sigma_idx, round({DIST.format(a='a', b='b')} / (b.id * b.id - a.id * a.id), 6) AS v FROM p a JOIN p b ON b.id = a.id + 1 WHERE b.id < 200",
-    "neighborhood_churn": f"""WITH {POINTS}, r AS (SELECT a.id AS q, b.id AS n, row_number() OVER (PARTITION BY a.id ORDER BY {DIST.format(a='a', b='b')}, b.id) AS r FROM p a, p b WHERE a.id < 20),
+    "representation_velocity": f"WITH {POINTS} SELECT a.id::INTEGER AS sigma_idx, round({DIST.format(a='a', b='b')} / (b.id * b.id - a.id * a.id), 6) AS v FROM p a JOIN p b ON b.id = a.id + 1",
+    "neighborhood_churn": f"""WITH {POINTS}, r AS (SELECT a.id AS q, b.id AS n, row_number() OVER (PARTITION BY a.id ORDER BY {DIST.format(a='a', b='b')}, b.id) AS r FROM p a, p b),
         s AS (SELECT q, list(n) AS near FROM r WHERE r <= 10 GROUP BY q)
         SELECT a.q::INTEGER AS sigma_idx, round(1 - len(list_intersect(a.near, b.near))::DOUBLE / len(list_distinct(list_concat(a.near, b.near))), 6) AS c FROM s a JOIN s b ON b.q = a.q + 1""",
     "zscore_composite": f"WITH {_SCORES} SELECT focus, sigma_idx, round(s, 6) + 0.0::DOUBLE AS s FROM z",
