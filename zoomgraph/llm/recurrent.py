@@ -36,27 +36,34 @@ def start(counts: np.ndarray, rest: float, seed: int = 5) -> dict[str, np.ndarra
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 def step(p: dict, x: np.ndarray, h: np.ndarray):
     """x: input projections (n, 3 * HIDDEN). z keeps the old state, r opens it to the candidate."""
-    zr = _sigmoid(x[:, : 2 * HIDDEN] + h @ p["gates"])
+    zr = h @ p["gates"]
+    zr += x[:, : 2 * HIDDEN]
+    zr = _sigmoid(zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ p["cand"])
     return c + z * (h - c), z, r, c
 
 
 def _softmax_error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probabilities of the outputs ``at`` of scores x, which become probabilities less one at ``at``."""
+    """Log probabilities of the outputs ``at`` of scores x (outputs, rows), which become probabilities less one at ``at``."""
     i = np.arange(len(at))
-    x -= x.max(1, keepdims=True)
-    lp = x[i, at]
+    x -= x.max(0)
+    lp = x[at, i]
     np.exp(x, out=x)
-    s = x.sum(1, keepdims=True)
+    s = x.sum(0)
     x /= s
-    x[i, at] -= 1
-    return lp - np.log(s[:, 0])
+    x[at, i] -= 1
+    return lp - np.log(s)
 
 
 #: Rows that go through the class layer at once.
@@ -64,24 +71,25 @@ ROWS = 1024
 
 
 def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    lp = x[np.arange(len(at)), at]
+    x -= x.max(0)
+    lp = x[at, np.arange(len(at))]
     np.exp(x, out=x)
-    return lp - np.log(x.sum(1))
+    return lp - np.log(x.sum(0))
 
 
 def log_prob(p: dict, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log probability of each word after state h; of a word of no class, that of ``rest``."""
     order = np.argsort((word // CLASS).astype(np.int16), kind="stable")  # so that each class has its rows side by side
-    hh, at = h[order], word[order]
+    hh, at = np.ascontiguousarray(h[order].T), word[order]
     c = at // CLASS
     bounds = np.searchsorted(c, np.arange(CLASSES + 1))
     lp, out = np.empty(len(at), h.dtype), np.empty(len(at), h.dtype)
     for a in range(0, len(at), ROWS):
-        lp[a : a + ROWS] = _log_chosen(hh[a : a + ROWS] @ p["class_w"] + p["class_b"], c[a : a + ROWS])
+        lp[a : a + ROWS] = _log_chosen(p["class_w"].T @ hh[:, a : a + ROWS] + p["class_b"][:, None], c[a : a + ROWS])
     for k in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[k], bounds[k + 1]
-        lp[a:b] += _log_chosen(hh[a:b] @ p["word_w"][k] + p["word_b"][k], at[a:b] - k * CLASS)
+        for a in range(bounds[k], bounds[k + 1], ROWS):
+            b = min(a + ROWS, bounds[k + 1])
+            lp[a:b] += _log_chosen(p["word_w"][k].T @ hh[:, a:b] + p["word_b"][k][:, None], at[a:b] - k * CLASS)
     out[order] = lp
     return out
 
@@ -105,60 +113,58 @@ def gradient(p: dict, words: np.ndarray, h0: np.ndarray, before: np.ndarray, val
     zeros. Places that are not ``valid`` lie behind a lane's end and do not count. Returns the state behind the
     window and the sum of log probabilities."""
     n, t_len = words.shape
-    ins = np.concatenate([before[:, None], words[:, :-1]], 1)
+    ins = np.concatenate([before[None], words.T[:-1]])  # by time, then lane
     go_on = (ins != end).astype(p["embed"].dtype)[:, :, None]
-    e = p["embed"][ins]
-    x = e @ p["input"] + p["bias"]
-    hs, keep, h = [], [], h0
-    out = np.empty((n, t_len, HIDDEN), x.dtype)
+    e = p["embed"][ins.ravel()]
+    x = (e @ p["input"] + p["bias"]).reshape(t_len, n, -1)
+    hs, out, z, r, c = (np.empty((t_len, n, HIDDEN), x.dtype) for _ in range(5))
+    h = h0
     for t in range(t_len):
-        hs.append(h * go_on[:, t])
-        h, z, r, c = step(p, x[:, t], hs[-1])
-        out[:, t] = h
-        keep.append((z, r, c))
+        np.multiply(h, go_on[t], out=hs[t])
+        out[t], z[t], r[t], c[t] = step(p, x[t], hs[t])
+        h = out[t]
     # by class, so that each class has its rows side by side
-    flat = words.ravel()
-    cls = np.where(valid.ravel(), flat // CLASS, CLASSES + 1)
+    flat = words.T.ravel()
+    cls = np.where(valid.T.ravel(), flat // CLASS, CLASSES + 1).astype(np.int16)
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 2))
     order = order[: bounds[-1]]
-    hh, at, cls = out.reshape(n * t_len, HIDDEN)[order], flat[order], cls[order]
+    hh, at, cls = np.ascontiguousarray(out.reshape(n * t_len, HIDDEN)[order].T), flat[order], cls[order]
     lp, dh = np.empty(len(order), x.dtype), np.empty_like(hh)
     for a in range(0, len(order), ROWS):
         b = min(a + ROWS, len(order))
-        y = hh[a:b] @ p["class_w"] + p["class_b"]
+        y = p["class_w"].T @ hh[:, a:b] + p["class_b"][:, None]
         lp[a:b] = _softmax_error(y, cls[a:b])
-        g["class_w"] += hh[a:b].T @ y
-        g["class_b"] += y.sum(0)
-        dh[a:b] = y @ p["class_w"].T
+        g["class_w"] += hh[:, a:b] @ y.T
+        g["class_b"] += y.sum(1)
+        dh[:, a:b] = p["class_w"] @ y
     for k in np.flatnonzero(np.diff(bounds[: CLASSES + 1])):
         a, b = bounds[k], bounds[k + 1]
-        y = hh[a:b] @ p["word_w"][k] + p["word_b"][k]
+        y = p["word_w"][k].T @ hh[:, a:b] + p["word_b"][k][:, None]
         lp[a:b] += _softmax_error(y, at[a:b] - k * CLASS)
-        g["word_w"][k] += hh[a:b].T @ y
-        g["word_b"][k] += y.sum(0)
-        dh[a:b] += y @ p["word_w"][k].T
+        g["word_w"][k] += hh[:, a:b] @ y.T
+        g["word_b"][k] += y.sum(1)
+        dh[:, a:b] += p["word_w"][k] @ y
     back_to = np.zeros((n * t_len, HIDDEN), x.dtype)
-    back_to[order] = dh
-    dh = back_to.reshape(n, t_len, HIDDEN)
+    back_to[order] = dh.T
+    dh = back_to.reshape(t_len, n, HIDDEN)
+    rh = r * hs
+    by_c, by_z, by_r = (1 - z) * (1 - c * c), (hs - c) * z * (1 - z), rh * (1 - r)
     dx = np.empty_like(x)
     back = np.zeros((n, HIDDEN), x.dtype)
+    gates, cand = (np.ascontiguousarray(p[k].T) for k in ("gates", "cand"))
     for t in range(t_len - 1, -1, -1):
-        z, r, c = keep[t]
-        h_in = hs[t]
-        d = dh[:, t] + back
-        dcand = d * (1 - z) * (1 - c * c)
-        drh = dcand @ p["cand"].T
-        rh = r * h_in
-        dzr = dx[:, t, : 2 * HIDDEN]
-        dzr[:, :HIDDEN] = d * (h_in - c) * z * (1 - z)
-        dzr[:, HIDDEN:] = drh * rh * (1 - r)
-        dx[:, t, 2 * HIDDEN :] = dcand
-        g["gates"] += h_in.T @ dzr
-        g["cand"] += rh.T @ dcand
-        back = (d * z + drh * r + dzr @ p["gates"].T) * go_on[:, t]
-    fx = dx.reshape(n * t_len, -1)
-    g["input"] += e.reshape(n * t_len, HIDDEN).T @ fx
+        d = dh[t] + back
+        dcand = d * by_c[t]
+        drh = dcand @ cand
+        dx[t, :, :HIDDEN] = d * by_z[t]
+        dx[t, :, HIDDEN : 2 * HIDDEN] = drh * by_r[t]
+        dx[t, :, 2 * HIDDEN :] = dcand
+        back = (d * z[t] + drh * r[t] + dx[t, :, : 2 * HIDDEN] @ gates) * go_on[t]
+    fx, hs, rh = dx.reshape(n * t_len, -1), hs.reshape(-1, HIDDEN), rh.reshape(-1, HIDDEN)
+    g["gates"] += hs.T @ fx[:, : 2 * HIDDEN]
+    g["cand"] += rh.T @ fx[:, 2 * HIDDEN :]
+    g["input"] += e.T @ fx
     g["bias"] += fx.sum(0)
     g["at"].append(ins.ravel())
     g["by"].append(fx @ p["input"].T)
