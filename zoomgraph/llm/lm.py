@@ -93,10 +93,24 @@ def _merge(bits: int):
     return run
 
 
+def _slots(known: np.ndarray) -> np.ndarray:
+    """Where the words of each value of the top bits begin in the sorted list: at least twice as many slots as words."""
+    bits = len(known).bit_length() + 1
+    return np.searchsorted(known, np.arange(2**bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+
 def _ids(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each word in the network's vocabulary (REST beyond it) and in the sorted frequent list (or -1)."""
-    known = model["sorted"]
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    known, slots = model["sorted"], model["slots"]
+    at = slots[h >> np.uint64(65 - len(slots).bit_length())]
+    end = len(known) - 1
+    np.minimum(at, end, out=at)
+    less = np.flatnonzero(known[at] < h)
+    while len(less):  # on to the next word of the slot, until it is not less
+        at[less] += 1
+        less = less[at[less] <= end]
+        less = less[known[at[less]] < h[less]]
+    np.minimum(at, end, out=at)
     hit = known[at] == h
     rank = np.where(hit, model["rank"][at], net.REST)
     return np.minimum(rank, net.REST), np.where(hit, at, -1)
@@ -268,7 +282,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rest_mass = float(n - own.sum())
     by = np.argsort(h)
     model = {
-        "sorted": h[by], "rank": rank[by], "log_c": np.log10(c[by] + 0.1), "seen": c[by] > 0, "end": e, "net": net.start(own, rest_mass),
+        "sorted": h[by], "slots": _slots(h[by]), "rank": rank[by], "log_c": np.log10(c[by] + 0.1), "seen": c[by] > 0, "end": e, "net": net.start(own, rest_mass),
         "log_total": float(np.log10(n + 0.1 * (v + 1))),
         # words beyond the network's: counts and 0.1 for each and for all that are new
         "log_rest": float(np.log10(rest_mass + 0.1 * (max(0, v - net.WORDS) + 1))),

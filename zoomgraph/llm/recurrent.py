@@ -101,7 +101,11 @@ def zeros(p: dict) -> dict:
 
 def whole(p: dict, g: dict) -> dict:
     at, by = np.concatenate(g.pop("at")), np.concatenate(g.pop("by"))
-    g["embed"] = np.stack([np.bincount(at, by[:, j], WORDS + 1) for j in range(HIDDEN)], 1).astype(p["embed"].dtype)
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][at[first]] = np.add.reduceat(by[order], first)
     return g
 
 
