@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,40 @@ def mean_reciprocal_rank(true: DataFrame, ranked: DataFrame) -> DataFrame:
     return q.join(best, "qid", "left").agg(F.coalesce(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
 
 
+def wilcoxon(rows: DataFrame) -> DataFrame:
+    """(n, w, z, p) of the signed ranks of x - y over rows(x, y): equal pairs are left out, ties share their mean rank, w sums
+    the ranks of positive differences; z by the normal approximation with its correction for ties, p two-sided, both null
+    without a difference. Differences are counted first; only distinct sizes are ordered."""
+    d = rows.select((F.col("x") - F.col("y")).alias("d")).where("d <> 0")
+    c = d.groupBy(F.abs("d").alias("a")).agg(F.count("*").cast("double").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    upto = F.sum("t").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    none, n, t = F.lit(0.0), F.col("n"), F.col("t")
+    s = c.agg(F.coalesce(F.sum("t"), none).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), none).alias("w"), F.coalesce(F.sum(t * t * t - t), none).alias("ties"))
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    s = s.withColumn("z", F.when(n > 0, (F.col("w") - n * (n + 1) / 4) / F.sqrt(F.when(var > 0, var))))
+    p = F.udf(lambda z: None if z is None else math.erfc(abs(z) / math.sqrt(2)), "double")  # one row
+    return s.select(n.cast("long").alias("n"), "w", "z", p("z").alias("p"))
+
+
+def reciprocal_ranks(peaks: DataFrame, above: DataFrame, nodes: DataFrame, salts: int = 64) -> DataFrame:
+    """(peak, rr): for each of peaks(peak, focus, depth_hat, x), the reciprocal rank of the focus' first ancestor (of
+    above(node, ancestor)) among all nodes(node_id, depth, x) of the rounded depth, by distance from x, then by id.
+
+    x is the focus' own point or its summary at the peak. Halves round to even. No node or no ancestor at that depth
+    gives 0; a focus without ancestors has no row. A depth's nodes meet its peaks in ``salts`` parts, so a depth with most
+    of the nodes is not one task."""
+    up = above.select(F.col("node").alias("focus"), F.col("ancestor").alias("node_id")).distinct()
+    p = peaks.withColumn("depth", F.bround("depth_hat").cast("int")).join(up.select("focus").distinct(), "focus", "left_semi")
+    n = nodes.select("node_id", F.col("depth").cast("int").alias("depth"), F.col("x").alias("xn"))
+    at = F.struct(G.poincare_distance("x", "xn").alias("d"), F.col("node_id").alias("id"))
+    first = p.join(up, "focus").join(n, ["node_id", "depth"]).groupBy("peak").agg(F.min(at).alias("first"))
+    asked = p.join(first, "peak").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = asked.join(n.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int")), ["depth", "salt"])
+    rank = met.where(at <= F.col("first")).groupBy("peak").agg(F.count("*").alias("rank"))
+    return p.select("peak").join(rank, "peak", "left").select("peak", F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("rr"))
+
+
 def hierarchy_preservation(points: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:
     """(share, n): pairs(a, b) of linked nodes that are nearer than a with a hash-drawn node other than both.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, embed, graph, hierarchy, metrics, spectral, synth
+from ..operators import clustering, embed, graph, hierarchy, metrics, scoring, spectral, synth
 from ..sources.records import table, trade_hierarchy
 from .geometry import _r
 
@@ -94,6 +94,16 @@ def clusters_mllib(spark, sf_dir):
     return clustering.spectral_clusters(vals, vecs, 4, 1.0, runs=3)
 
 
+def config_scores(spark, sf_dir):
+    """Two configs of a sweep over a planted graph: even weights, and the velocity alone with a higher threshold."""
+    e = graph.checkpointed(graph.undirected(synth.hsbm_edges(spark, 256, 2, 2, 4, 100.0)))
+    nodes = spark.range(256).withColumnRenamed("id", "node_id")
+    vals, vecs = spectral.eigen(graph.normalized_laplacian(nodes, e), 24)
+    truth, points = synth.hsbm_labels(spark, 256, 2, 2, 4, 100.0), synth.random_points(nodes, 4)
+    one = lambda name, **k: scoring.score_config(points, vals, vecs, truth, 0, {"macro": 2, "meso": 4}, runs=3, grid=spectral.logspace(spark, -2, 2, 40), **k).select(F.lit(name).alias("name"), "*")
+    return one("full").union(one("velocity", alpha=(1.0, 0.0, 0.0), peak_alpha=2.0))
+
+
 def _small(spark, sf_dir):
     return trade_hierarchy(spark, sf_dir, 2).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
 
@@ -108,7 +118,7 @@ def _embedding(method, **options):
 QUERIES = {
     "contingency": contingency, "adjusted_rand_index": _one("ari", metrics.adjusted_rand_index), "variation_of_information": _one("vi", metrics.variation_of_information), "normalized_mutual_info": _one("nmi", metrics.normalized_mutual_info),
     "kendall_tau": tau, "spearman": spearman, "pearson": pearson, "hit_at_l": hits, "mean_reciprocal_rank": mrr, "hsbm_labels": labels, "hsbm_edges": edges, "hsbm_snr": snr, "random_points": random_points, "hsbm_recovery": hsbm_recovery,
-    "spectral_clusters": clusters_mllib, "poincare_embed": _embedding("contrastive"), "hyperbolic_mds": _embedding("hyperbolic_mds"), "euclidean_mds": _embedding("euclidean_mds"),
+    "spectral_clusters": clusters_mllib, "config_scores": config_scores, "poincare_embed": _embedding("contrastive"), "hyperbolic_mds": _embedding("hyperbolic_mds"), "euclidean_mds": _embedding("euclidean_mds"),
 }
 
 _PART = "x AS (SELECT p_type AS t, CASE WHEN p_partkey % 3 = 0 THEN 'S' || (p_size % 4) ELSE p_type END AS p FROM part), c AS (SELECT t, p, count(*)::DOUBLE AS n FROM x GROUP BY t, p), ct AS (SELECT sum(n) AS n FROM c GROUP BY t), cp AS (SELECT sum(n) AS n FROM c GROUP BY p), a AS (SELECT sum(n) AS n FROM c)"

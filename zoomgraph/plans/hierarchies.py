@@ -83,7 +83,14 @@ def nodes_at_depth(spark, sf_dir):
     return hierarchy.depths(trade_hierarchy(spark, sf_dir, 4)).groupBy("depth").agg(F.count("*").alias("n"), F.min("node_id").alias("least"))
 
 
-QUERIES = {"ancestors": ancestors, "hierarchy_depth": depths, "leaves": leaves, "subtree": subtree, "hierarchy_undirected": undirected, "sibling_counts": siblings, "sibling_sample": sibling_sample, "stratified_leaves": stratified, "sigma_to_depth": depth_of_scale, "nearest_ancestor_depth": nearest_ancestor, "hierarchy_preservation": preservation, "sibling_proximity": proximity, "depth_correlation": depth_correlation, "nodes_at_depth": nodes_at_depth}
+def rank_of_ancestors(spark, sf_dir):
+    """A peak a customer, at a depth that its id gives, ranked from the customer's own point."""
+    p = tree_points(spark, sf_dir)
+    foci = p.where("depth = 3").select(F.col("node_id").alias("peak"), F.col("node_id").alias("focus"), (F.col("node_id") % 7 / 2).alias("depth_hat"), "x")
+    return metrics.reciprocal_ranks(foci, hierarchy.ancestors(trade_hierarchy(spark, sf_dir)), p).select("peak", F.round("rr", 6).alias("rr"))
+
+
+QUERIES = {"ancestors": ancestors, "hierarchy_depth": depths, "leaves": leaves, "subtree": subtree, "hierarchy_undirected": undirected, "sibling_counts": siblings, "sibling_sample": sibling_sample, "stratified_leaves": stratified, "sigma_to_depth": depth_of_scale, "nearest_ancestor_depth": nearest_ancestor, "hierarchy_preservation": preservation, "sibling_proximity": proximity, "depth_correlation": depth_correlation, "nodes_at_depth": nodes_at_depth, "reciprocal_ranks": rank_of_ancestors}
 
 
 def _tree(levels: int) -> str:
@@ -137,5 +144,9 @@ SQL = {
     "hierarchy_preservation": f"WITH RECURSIVE {_tree(3)}, {_DEPTH}, {_XY} {_share('(SELECT child AS a, parent AS b FROM h)')}",
     "sibling_proximity": f"WITH RECURSIVE {_tree(3)}, {_DEPTH}, {_XY}, {_SIB} {_share('sb')}",
     "depth_correlation": f"WITH RECURSIVE {_tree(3)}, {_DEPTH}, {_XY} SELECT round(corr(sqrt(x * x + y * y), depth), 6) AS r FROM xy",
+    "reciprocal_ranks": f"""WITH RECURSIVE {_tree(3)}, {_DEPTH}, {_ANC}, {_XY}, f AS (SELECT *, round_even(node_id % 7 / 2.0::DOUBLE, 0)::INTEGER AS level FROM xy WHERE depth = 3),
+        c AS (SELECT p.node_id AS peak, q.node_id AS cand, row_number() OVER (PARTITION BY p.node_id ORDER BY {_D2.format(a='p', b='q')}, q.node_id) AS k FROM f p JOIN xy q ON q.depth = p.level WHERE p.level < 3),
+        b AS (SELECT peak, min(k) AS k FROM c JOIN a ON a.node = peak AND a.ancestor = cand GROUP BY peak)
+        SELECT f.node_id AS peak, round(coalesce(1.0::DOUBLE / k, 0), 6) AS rr FROM f LEFT JOIN b ON b.peak = f.node_id""",
     "nodes_at_depth": f"WITH RECURSIVE {_tree(4)}, {_DEPTH} SELECT depth, count(*) AS n, min(node_id) AS least FROM d GROUP BY depth",
 }

@@ -57,6 +57,12 @@ def peaks_apart(spark, sf_dir):
     return scan.peaks(s, scan.mad_threshold(s), 5)
 
 
+def highest_peaks(spark, sf_dir):
+    s = scan.composite(profile(spark, sf_dir), (0.5, 0.25, 0.25))
+    found = scan.peaks(s, scan.mad_threshold(s), 1)
+    return scan.top_peaks(s.join(found, ["focus", "sigma_idx"], "left_semi").withColumn("is_peak", F.lit(True))).withColumn("s", _r(F.col("s")))
+
+
 def frechet_3d(spark, sf_dir):
     """Means of the first three coordinates by label, weighted by id."""
     lab = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "label")
@@ -104,7 +110,7 @@ def best_peaks(spark, sf_dir):
     return scan.best_peak(out).select("focus", _r(F.col("sigma")).alias("sigma"), "k_star")
 
 
-QUERIES = {"representation_velocity": velocity, "neighborhood_churn": churn, "zscore_composite": zscores, "mad_threshold": threshold, "local_peaks": peaks, "peaks_apart": peaks_apart, "frechet_mean_3d": frechet_3d, "frechet_mean": frechet_64d, "multi_center": multi_center, "boundary_scan": boundary_scan_tree, "best_peaks": best_peaks}
+QUERIES = {"representation_velocity": velocity, "neighborhood_churn": churn, "zscore_composite": zscores, "mad_threshold": threshold, "local_peaks": peaks, "peaks_apart": peaks_apart, "top_peaks": highest_peaks, "frechet_mean_3d": frechet_3d, "frechet_mean": frechet_64d, "multi_center": multi_center, "boundary_scan": boundary_scan_tree, "best_peaks": best_peaks}
 
 _PROFILE = "f AS (SELECT user_id % 5 AS focus, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS sigma_idx, count(*)::DOUBLE AS v, sum(value::DECIMAL(18,2))::DOUBLE AS d, count(DISTINCT user_id)::DOUBLE AS c FROM events GROUP BY 1, 2)"
 _Z = "CASE WHEN stddev_pop({0}) OVER q < 1e-10 THEN 0 ELSE ({0} - avg({0}) OVER q) / stddev_pop({0}) OVER q END"
@@ -121,6 +127,9 @@ SQL = {
     "local_peaks": f"""WITH {_MAD}, n AS (SELECT *, lag(s) OVER q AS a, lead(s) OVER q AS b FROM z WINDOW q AS (PARTITION BY focus ORDER BY sigma_idx)),
         m AS (SELECT n.*, threshold, count(*) FILTER (s >= threshold) OVER (PARTITION BY focus) AS high, row_number() OVER (PARTITION BY focus ORDER BY s DESC, sigma_idx) AS r FROM n JOIN th USING (focus) WHERE s > a AND s > b)
         SELECT focus, sigma_idx FROM m WHERE s >= threshold OR (high = 0 AND r = 1)""",
+    "top_peaks": f"""WITH {_MAD}, n AS (SELECT *, lag(s) OVER q AS a, lead(s) OVER q AS b FROM z WINDOW q AS (PARTITION BY focus ORDER BY sigma_idx)),
+        m AS (SELECT n.*, threshold, row_number() OVER (PARTITION BY focus ORDER BY s DESC, sigma_idx) AS r FROM n JOIN th USING (focus) WHERE s > a AND s > b)
+        SELECT focus, r::INTEGER AS place, sigma_idx, round(s, 6) + 0.0::DOUBLE AS s FROM m WHERE r <= 5 AND (s >= threshold OR r = 1)""",
     "frechet_mean_3d": f"""WITH RECURSIVE {POINTS}, w AS (SELECT id, label, 1.0::DOUBLE + id % 7 AS w FROM p JOIN embeddings ON vec_id = id),
         q AS (SELECT label, id, w / sum(w) OVER (PARTITION BY label) AS w, x[1] AS a, x[2] AS b, x[3] AS c FROM w JOIN p USING (id)),
         first AS (SELECT label, a, b, c FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY w DESC, id) AS r FROM q) WHERE r = 1),
