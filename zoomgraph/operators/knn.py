@@ -35,6 +35,19 @@ def blocks(points: DataFrame, n: int, size: int = BLOCK) -> tuple[DataFrame, int
     return keyed.groupBy("block").applyInArrow(pack, "block int, ids binary, xs binary"), count
 
 
+def _least(d: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m least values of each row, in order, of equal ones the earlier: whole rows are sorted only where
+    more than m columns reach the m-th value."""
+    if m >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    at = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)
+    v = np.take_along_axis(d, at, 1)
+    tied = np.flatnonzero((d <= v.max(1, keepdims=True)).sum(1) > m)
+    at = np.take_along_axis(at, np.argsort(v, axis=1, kind="stable"), 1)
+    at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :m]
+    return at
+
+
 def knn(points: DataFrame, k: int | None = None, metric: str = "poincare", n: int | None = None) -> DataFrame:
     """(i, j, d, rank): the k nearest neighbours j of every i, rank from 1."""
     if metric not in ("poincare", "euclidean"):
@@ -56,7 +69,7 @@ def knn(points: DataFrame, k: int | None = None, metric: str = "poincare", n: in
                 d = arrays.distances(np.frombuffer(xs).reshape(len(a), -1), np.frombuffer(xs2).reshape(len(c), -1), metric)
                 d[a[:, None] == c[None, :]] = np.inf
                 m = min(k, len(c))
-                at = np.argsort(d, axis=1, kind="stable")[:, :m]  # ids are sorted: equal distances by id
+                at = _least(d, m)
                 i, j, v = np.repeat(a, m), c[at].ravel(), np.take_along_axis(d, at, 1).ravel()
                 ok = np.isfinite(v)
                 yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(j[ok]), pa.array(v[ok])], ["i", "j", "d"])
