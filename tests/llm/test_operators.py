@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from zoomgraph.llm import decontaminate, fingerprint, language, lm, mixing, ngram_join, recurrent, secrets, sharding, substrings, token_counts
@@ -88,6 +90,45 @@ def test_fingerprint_uses_the_whole_band(spark):
     assert codes.where(fingerprint._known(words)(F.col("h") + 1)).count() == 0
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute_fingerprint(text, band):
+    found = {signed(xxhash.xxh64(t.encode(), 42).intdigest()): t for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t}
+    t = sorted(c for c, w in found.items() if w in band) or sorted(found) or [signed(xxhash.xxh64(("=" + text).encode(), 42).intdigest())]
+
+    def fold(a):
+        h = 42
+        for c in a:
+            h = xxhash.xxh64(c.to_bytes(8, "little", signed=True), h).intdigest()
+        return h if a else 0
+
+    nested = [[c for c in t if c >> 34 + 6 * k & 63 < share] for share in fingerprint.SHARES for k in range(fingerprint.FAMILIES)]
+    return [fold(a) for a in [t, *nested]]
+
+
+def test_fingerprints_by_brute_force(spark):
+    texts = [noise(s, 30 + 11 * s, 900).replace("w7", "Été") for s in range(40)] + ["", None, "-- ?", "zz yy", noise(3, 63, 900) + " new"]
+    t = dict(enumerate(x or "" for x in texts))
+    df = Counter(w for x in t.values() for w in set(regex.split(r"[^\p{L}\p{N}]+", x.lower())) if w)
+    band = {w for w, n in df.items() if 2 <= n <= 0.1 * len(t)}
+    assert band and len(band) < len(df)
+
+    def alike(a, b):
+        both = [x == y for x, y in zip(a, b, strict=True) if x or y]
+        return sum(both) / len(both) if both else 0.0
+
+    shown = lambda a: "-".join(f"{h:016x}" for h in a)
+    rows = fingerprint.imatch(made(spark, texts), most=0.1, least=0.002).collect()
+    assert len(rows) == len(t)
+    for r in rows:
+        x, y = t[r["doc_id"]], t[(r["doc_id"] + 1) % len(t)]
+        own, edited, after = (brute_fingerprint(z, band) for z in (x, x[: len(x) - len(x) // 4] + y[: len(x) // 4], y))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(edited))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(alike(own, edited)), pytest.approx(alike(own, after)))
+
+
 def brute_components(t):
     sets = {}
     for d, x in t.items():
@@ -119,7 +160,9 @@ def test_trie_walk_is_exact():
     assert got == {i: n for i, n in want.items() if 100 * n >= 80 * (len(sets[i]) + 100 - n)}
 
 
-def test_substrings(spark, corpus):
+@pytest.mark.parametrize("bits", [8, 13])
+def test_substrings(spark, corpus, monkeypatch, bits):
+    monkeypatch.setattr(substrings, "bucket_bits", lambda *_: bits)
     t = texts_of(corpus)
     least = {}
     words = {d: WORD.findall(x or "") for d, x in t.items()}

@@ -3,8 +3,9 @@
 Every window of 13 words of every document is hashed. Tasks first reduce their windows to one row a hash
 (its smallest document); the hashes then meet in hash buckets, as packed columns, where every document but
 the smallest is told which of its windows are repeated. Overlapping repeated windows merge into maximal
-removal intervals. Two sequences with one 64-bit hash would be mistaken for each other: for N windows the
-odds are about N^2 / 2^65."""
+removal intervals. The bucket's bits beyond its first byte come from a second hash, so sequences are told
+apart by 56 bits and the bucket's own, of which there are about N / 2^21 for N windows: about N / 2^36 of the
+windows are mistaken for others, whatever their number. At most 2^30 buckets are made."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_bytes
-from .textkit import bucket_bits, groups, mix, pack7, pieces, unpack7, windows, words
+from .textkit import SECOND, bucket_bits, groups, mix, pack7, pieces, unpack7, windows, words
 
 LOW = -(2**63)
 #: Windows that a task gathers before it reduces them.
@@ -39,27 +40,30 @@ def _open(ids: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndar
 
 
 def _reduce(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, smallest document) of each hash, and (hash, document) of the larger documents."""
+    """Places of each hash's smallest document, and those of the larger documents, by hash."""
     order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    s, e = groups(h)
-    least = np.repeat(doc[s], e - s)
-    more = np.flatnonzero(doc > least)
-    return h[s], doc[s], h[more], doc[more]
+    s, e = groups(h[order])
+    least = np.repeat(doc[order[s]], e - s)
+    return order[s], order[doc[order] > least]
+
+
+def _bucket(h: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket: its low byte is the top byte of the hash, which ``pack7`` leaves out; the rest is of the second hash."""
+    low = (h >> np.uint64(56)).astype(np.int32)
+    return low if bits == 8 else low | ((second >> np.uint64(72 - bits)).astype(np.int32) << 8)
 
 
 def _scatter(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
-            h, doc, mh, md = _reduce(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-            for known, hh, dd in ((False, h, doc), (True, mh, md)):
-                b = (hh >> np.uint64(64 - bits)).astype(np.int32)
-                order = np.argsort(b, kind="stable")
-                b, hh, dd = b[order], hh[order], dd[order]
+            h, doc, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            for known, at in zip((False, True), _reduce(h, doc), strict=True):
+                at = at[np.argsort(bucket[at], kind="stable")]
+                b, hh, dd = bucket[at], h[at], doc[at]
                 for s, e in zip(*groups(b), strict=True):
                     rows.append((int(b[s]), known, *_blob(dd[s:e], hh[s:e])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], NAMES)
@@ -70,7 +74,8 @@ def _scatter(k: int, bits: int):
                 w = words(data, offs)
                 at, h = windows(w.hash, w.first, k)
                 if len(at):
-                    held.append((h, ids[lo:hi][np.searchsorted(w.first, at, "right") - 1]))
+                    second = windows(w.hash, w.first, k, SECOND)[1] if bits > 8 else h
+                    held.append((h, ids[lo:hi][np.searchsorted(w.first, at, "right") - 1], _bucket(h, second, bits)))
                     n += len(at)
                 if n >= FLUSH:
                     yield from flush()
@@ -81,7 +86,7 @@ def _scatter(k: int, bits: int):
     return run
 
 
-def _gather(groups_: int, bits: int):
+def _gather(groups_: int):
     """Of one bucket: the repeated windows of every document but the smallest, by groups of documents."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -90,8 +95,9 @@ def _gather(groups_: int, bits: int):
         new = [r for r in rows if not r[2]]
         parts = [(r[0], r[1]) for r in rows if r[2]]
         if new:
-            _, _, h, doc = _reduce(np.concatenate([r[1] for r in new]), np.concatenate([r[0] for r in new]))
-            parts.append((doc, h))
+            h, doc = np.concatenate([r[1] for r in new]), np.concatenate([r[0] for r in new])
+            _, more = _reduce(h, doc)
+            parts.append((doc[more], h[more]))
         doc, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         g = doc_group(doc, groups_)
         order = np.argsort(g, kind="stable")
@@ -108,7 +114,7 @@ def doc_group(doc: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
-def _apply(k: int, bits: int, text: bool):
+def _apply(k: int, text: bool):
     """Texts of one group of documents and their repeated windows -> what stays of each text."""
 
     def run(texts: pa.Table, flags: pa.Table) -> pa.Table:
@@ -116,7 +122,7 @@ def _apply(k: int, bits: int, text: bool):
         for b, i, c, x in zip(*(flags.column(n).to_pylist() for n in ("bucket", "ids", "counts", "hashes")), strict=True):
             d, y = _open(i, c, x)
             doc.append(d)
-            h.append((y & np.uint64(2 ** (64 - bits) - 1)) | (np.uint64(b) << np.uint64(64 - bits)))
+            h.append(y | (np.uint64(b & 255) << np.uint64(56)))
         doc, h = np.concatenate(doc), np.concatenate(h)
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
@@ -159,10 +165,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, text: bool = True) -> Data
     bits = bucket_bits(text_bytes(texts) // 6, 1 << 21)  # about six bytes a word
     n = 2**bits
     sent = texts.mapInArrow(_scatter(window, bits), PACKED)
-    flags = sent.groupBy("bucket").applyInArrow(_gather(n, bits), "grp int, bucket int, ids binary, counts binary, hashes binary")
+    flags = sent.groupBy("bucket").applyInArrow(_gather(n), "grp int, bucket int, ids binary, counts binary, hashes binary")
     keyed = texts.mapInArrow(_with_group(n), "grp int, doc_id long, text string")
     schema = f"doc_id long, n_words long, n_removed long, {'kept_text string, ' * text}kept_sha256 string"
-    return keyed.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(_apply(window, bits, text), schema)
+    return keyed.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(_apply(window, text), schema)
 
 
 def _with_group(n: int):

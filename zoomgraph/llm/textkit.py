@@ -30,6 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
+#: A second base of windows, for bits that are independent of the first.
+SECOND = 0xA0761D6478BD642F | 1
 _INV = pow(_P, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
 
@@ -103,8 +105,8 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.nda
     return Words(s, e, np.searchsorted(s, offs), spans_hash(LOWER[data] if lower else data, s, e))
 
 
-def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the words that start a whole window of k words, and the windows' Rabin-Karp hashes.
+def windows(h: np.ndarray, first: np.ndarray, k: int, base: int = _Q) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words that start a whole window of k words, and the windows' Rabin-Karp hashes to ``base``.
 
     Longer windows are put together from halves, with the base's powers as weights."""
     n = len(h)
@@ -115,11 +117,11 @@ def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     bits = k
     while bits:
         if bits & 1:
-            out = out * np.uint64(pow(_Q, size, 2**64)) + part[at : at + m]
+            out = out * np.uint64(pow(base, size, 2**64)) + part[at : at + m]
             at += size
         bits >>= 1
         if bits:
-            part = part[:-size] * np.uint64(pow(_Q, size, 2**64)) + part[size:]
+            part = part[:-size] * np.uint64(pow(base, size, 2**64)) + part[size:]
             size *= 2
     last = np.repeat(first[1:], np.diff(first))[:m]
     ok = np.flatnonzero(np.arange(m) + k <= last)
