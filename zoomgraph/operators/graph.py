@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df on the session's shared checkpoint folder; a temporary folder only where none is set."""
+    """df on the shared checkpoint folder that the session names. Where none is set, a temporary one serves a local
+    session; on a cluster that is an error, as executors could not read it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="zoomgraph-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="zoomgraph-"))
     return df.checkpoint()
 
 
