@@ -42,6 +42,22 @@ def test_knn_edges(spark):
     assert len(near & about) >= 0.8 * len(near)
 
 
+def test_approximate_neighbours_are_nearly_exact(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 12))
+    x = centres[rng.integers(40, size=3000)] + 0.3 * rng.standard_normal((3000, 12))
+    x = np.concatenate([x, np.repeat(x[:1], 300, 0)])  # a hot point
+    x *= 0.95 / np.linalg.norm(x, axis=1).max()
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, x array<double>").repartition(5)
+    got = knn.knn_approx(p, 10, size=64, sample=500).collect()
+    assert len(got) == 10 * len(x) and all(r["i"] != r["j"] for r in got)
+    d = arrays.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    reach = np.sort(d, axis=1)[:, 9]
+    assert np.mean([d[r["i"], r["j"]] <= reach[r["i"]] + 1e-9 for r in got]) >= 0.9
+    assert all(r["d"] == pytest.approx(d[r["i"], r["j"]], abs=1e-6) for r in got[::50])
+
+
 def test_isolated_node_and_star(spark):
     nodes = spark.range(4).withColumnRenamed("id", "node_id")
     e = graph.undirected(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"))

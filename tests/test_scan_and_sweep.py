@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zoomgraph.functions import arrays
 from zoomgraph.operators import embed, hierarchy, metrics, scan, sweep, synth
@@ -67,6 +68,27 @@ def test_rank_metrics(spark):
     assert metrics.mean_reciprocal_rank(true.limit(0), ranked).first()[0] == 0
 
 
+@pytest.mark.parametrize("values", [7, 40, 10**6])
+def test_rank_metrics_by_brute_force(spark, values):
+    rng = np.random.default_rng(values)
+    x = rng.integers(values, size=600)
+    x[:200] = 3  # a hot value
+    y = np.where(rng.random(600) < 0.6, x, rng.integers(values, size=600)) - 5
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    s = np.triu(np.sign(x[:, None] - x) * np.sign(y[:, None] - y), 1).sum()
+    tied = lambda v: sum(n * (n - 1) / 2 for n in np.unique(v, return_counts=True)[1])
+    want = s / np.sqrt((600 * 599 / 2 - tied(x)) * (600 * 599 / 2 - tied(y)))
+    for grid in (1, 4, 256):
+        assert metrics.kendall_tau(rows, grid).first()[0] == pytest.approx(want)
+    rank = lambda v: (v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2
+    assert metrics.spearman(rows).first()[0] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    detected, true = rows.select(F.col("x").alias("d")), rows.limit(400).select((F.col("y") * 1.7).alias("t"))
+    t = np.array([r["t"] for r in true.collect()])
+    for hops in (0, 0.3, 2.5):
+        hit = (np.abs(x[:, None] - t) <= hops).any(1).mean()
+        assert metrics.hit_at(detected, spark.createDataFrame([(float(v),) for v in t], "t double"), hops).first()[0] == pytest.approx(hit)
+
+
 def test_hierarchy_with_two_parents_and_cycle(spark):
     h = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (3, 2), (4, 3), (2, 1)], "child long, parent long")
     assert {r["node_id"]: r["depth"] for r in hierarchy.depths(h).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}

@@ -15,6 +15,8 @@ from ..functions import arrays
 from ..functions import geometry as G
 
 BLOCK = 512
+#: Planes of a tree of the approximate search; a point's sides of them are one 64-bit code.
+BITS = 62
 
 
 def default_k(n: int) -> int:
@@ -79,16 +81,97 @@ def knn(points: DataFrame, k: int | None = None, metric: str = "poincare", n: in
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_approx(points: DataFrame, k: int | None = None, oversampling: int = 3, n: int | None = None) -> DataFrame:
-    """Filter and refine: k * oversampling neighbours in the tangent space at the origin, ranked by distance."""
+def _codes(planes: list[tuple[np.ndarray, np.ndarray]]):
+    """Rows (part, code, node_id, x): a row of each tree for each point; the code's bits tell the sides of its planes."""
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float)
+            if not len(x):
+                continue
+            flat = arrays.log_map(np.zeros((1, x.shape[1])), x)
+            for part, (normal, offset) in enumerate(planes):
+                side = (flat @ normal.T >= offset).astype(np.int64)
+                code = side @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, np.int32)), pa.array(code), b.column(0), b.column(1)], ["part", "code", "node_id", "x"])
+
+    return run
+
+
+def _runs(batches, size: int):
+    """(part, ids, x) for each run of at most ``size`` neighbouring rows of one part."""
+    part, ids, xs = None, [], []
+    for b in batches:
+        for p, i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if ids and (p != part or len(ids) == size):
+                yield part, np.array(ids), np.array(xs, float)
+                ids, xs = [], []
+            part = p
+            ids.append(i)
+            xs.append(x)
+    if ids:
+        yield part, np.array(ids), np.array(xs, float)
+
+
+def knn_approx(points: DataFrame, k: int | None = None, oversampling: int = 3, n: int | None = None, trees: int = 8, size: int = BLOCK, sample: int = 4096, seed: int = 42) -> DataFrame:
+    """Filter and refine: k * oversampling neighbours in the tangent space at the origin, ranked by distance.
+
+    The filter is a forest of random planes, each midway between two of ``sample`` points drawn by hash (the one bounded
+    fit; every point is indexed). A tree orders all points by the sides they are on, and a point is compared with its
+    own run of ``size`` points in that order and with the runs before and after it. Runs are cut from ranges of the
+    order, so no cell is too large for a task, and the cost is trees * 3 * size distances a point."""
     n = points.count() if n is None else n
     k = default_k(n) if k is None else min(k, max(0, n - 1))
-    flat = points.select("node_id", G.log_map_origin("x").alias("x"))
-    cand = knn(flat, k * oversampling, "euclidean", n).select("i", "j")
-    x = points.select(F.col("node_id").alias("i"), F.col("x").alias("xi"))
-    y = points.select(F.col("node_id").alias("j"), F.col("x").alias("xj"))
-    d = cand.join(x, "i").join(y, "j").select("i", "j", G.poincare_distance("xi", "xj").alias("d"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+    spark = points.sparkSession
+    if n <= 1 or k < 1:
+        return spark.createDataFrame([], "i long, j long, d double, rank int")
+    points = points.select("node_id", F.col("x").cast("array<double>").alias("x"))
+    drawn = points.orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(sample).collect()
+    at = np.array([r["x"] for r in drawn], float)
+    at = arrays.log_map(np.zeros((1, at.shape[1])), at)
+    rng = np.random.default_rng(seed)
+    planes = []
+    for _ in range(trees):
+        one = rng.integers(len(at), size=BITS)
+        two = (one + rng.integers(1, len(at), size=BITS)) % len(at)
+        normal = at[one] - at[two]
+        planes.append((normal, (normal * (at[one] + at[two])).sum(1) / 2))
+    order = ["part", "code", "node_id"]
+    rows = points.mapInArrow(_codes(planes), "part int, code long, node_id long, x array<double>")
+    want = k * oversampling
+
+    def compare(part, own, others):
+        ids, x = own
+        ids2, x2 = np.concatenate([o[0] for o in others]), np.concatenate([o[1] for o in others])
+        zero = np.zeros((1, x.shape[1]))
+        t = arrays.distances(arrays.log_map(zero, x), arrays.log_map(zero, x2), "euclidean")
+        t[ids[:, None] == ids2[None, :]] = np.inf
+        m = min(want, len(ids2))
+        near = _least(t, m)
+        d = np.take_along_axis(arrays.distances(x, x2), near, 1).ravel()
+        i, j, t = np.repeat(ids, m), ids2[near].ravel(), np.take_along_axis(t, near, 1).ravel()
+        ok = np.isfinite(t)
+        return pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(j[ok]), pa.array(t[ok]), pa.array(d[ok])], ["i", "j", "t", "d"])
+
+    def search(batches):
+        held: list[tuple] = []  # the run before, and the run whose turn is next
+        for part, ids, x in _runs(batches, size):
+            if held and held[-1][0] != part:
+                yield compare(part, held[-1][1:], [h[1:] for h in held])
+                held = []
+            held.append((part, ids, x))
+            if len(held) > 1:
+                yield compare(part, held[-2][1:], [h[1:] for h in held])
+                held = held[-2:]
+        if held:
+            yield compare(held[-1][0], held[-1][1:], [h[1:] for h in held])
+
+    near = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(search, "i long, j long, t double, d double")
+    # one exchange by i serves the merge of the trees and both rankings
+    near = near.repartition("i").groupBy("i", "j").agg(F.min("t").alias("t"), F.min("d").alias("d"))
+    first = F.row_number().over(Window.partitionBy("i").orderBy("t", "j"))
+    near = near.withColumn("first", first).where(F.col("first") <= want).select("i", "j", "d")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
 def symmetric(near: DataFrame) -> DataFrame:

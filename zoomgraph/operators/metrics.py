@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .graph import checkpointed
 from .hierarchy import uniform
 
 
@@ -55,27 +58,86 @@ def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
     return _entropies(pairs).select(F.when(m <= 0, 1.0).otherwise((F.col("ht") + F.col("hp") - F.col("h")) / F.when(m <= 0, 1.0).otherwise(m)).alias("nmi"))
 
 
-def kendall_tau(rows: DataFrame) -> DataFrame:
+def _earlier_and_less(v: np.ndarray, w: np.ndarray) -> float:
+    """The sum of w[i] * w[j] over j before i with v[j] < v[i], for whole numbers v from 0: one pass a bit of v."""
+    out = 0.0
+    for bit in range(int(v.max()).bit_length()):
+        order = np.argsort(v >> (bit + 1), kind="stable")
+        group, high, x = v[order] >> (bit + 1), (v[order] >> bit & 1).astype(bool), w[order]
+        low = np.cumsum(np.where(high, 0, x))
+        start = np.searchsorted(group, group)
+        before = np.where(start > 0, low[start - 1], 0)
+        out += float((x * (low - before))[high].sum())
+    return out
+
+
+def _concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The sum over pairs of sign(dx) * sign(dy) * w * w."""
+    if not len(x):
+        return 0.0
+    v = np.unique(y, return_inverse=True)[1]
+    up, down = np.lexsort((-v, x)), np.lexsort((v, x))  # within one x no pair counts
+    return _earlier_and_less(v[up], w[up]) - _earlier_and_less(v.max() - v[down], w[down])
+
+
+def kendall_tau(rows: DataFrame, grid: int = 256) -> DataFrame:
     """(tau) b over rows(x, y): 0 for less than two rows or where one side is constant.
 
-    Equal (x, y) are counted first and the distinct values meet pairwise, so the cost grows with the
-    distinct values and not with the rows."""
-    c = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-    other = c.toDF("x2", "y2", "n2")
-    sign = lambda a, b: F.signum(F.col(a).cast("double") - F.col(b).cast("double"))
-    met = c.join(other, (F.col("x") < F.col("x2"))).agg(F.coalesce(F.sum(sign("x2", "x") * sign("y2", "y") * F.col("n") * F.col("n2")), F.lit(0.0)).alias("s"))
-    ties = lambda *k: c.groupBy(*k).agg(F.sum("n").alias("n")) if k else c
+    Equal (x, y) are counted first. About ``grid`` cuts of each side make blocks: cut values alone and the open
+    intervals between them. Pairs that differ in both blocks are counted from the table of block counts (at most
+    (2 * grid + 1)^2 rows, on the driver); the others are within one block of x or of y, a share of about 1 / grid of
+    the distinct rows, and are counted there by sorting. No rows meet pairwise."""
+    c = checkpointed(rows.groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").cast("double").alias("n")))
+    both = c.where("x is not null and y is not null")
+    cuts = [np.unique(q) for q in both.approxQuantile(["x", "y"], [i / grid for i in range(1, max(2, grid))], 0.0005)]
+
+    def label(batches):
+        for t in batches:
+            out = []
+            for name, q in zip(("x", "y"), cuts, strict=True):
+                v = t.column(name).to_numpy()
+                lo, hi = np.searchsorted(q, v, "left"), np.searchsorted(q, v, "right")
+                out.append(pa.array((lo + hi).astype(np.int32)))  # odd: a cut value alone
+            yield pa.RecordBatch.from_arrays([*out, t.column("x"), t.column("y"), t.column("n")], ["bx", "by", "x", "y", "n"])
+
+    def inside(t: pa.Table) -> pa.Table:
+        sign = -1.0 if t.column("kind")[0].as_py() == 2 else 1.0
+        return pa.table({"s": [sign * _concordance(*(t.column(k).to_numpy() for k in ("x", "y", "n")))]})
+
+    met = both.mapInArrow(label, "bx int, by int, x double, y double, n double")
+    count = np.zeros((2 * len(cuts[0]) + 1, 2 * len(cuts[1]) + 1))
+    for r in met.groupBy("bx", "by").agg(F.sum("n").alias("n")).collect():
+        count[r["bx"], r["by"]] = r["n"]
+    left = np.vstack([np.zeros((1, count.shape[1])), np.cumsum(count, 0)[:-1]])
+    less = np.cumsum(left, 1) - left
+    more = left.sum(1, keepdims=True) - less - left
+    across = float((count * (less - more)).sum())
+    open_x, open_y, none = F.col("bx") % 2 == 0, F.col("by") % 2 == 0, F.lit(-1)
+    kind = lambda at, i, a, b: F.when(at, F.struct(F.lit(i).alias("kind"), a.alias("a"), b.alias("b")))
+    kinds = F.array(kind(open_x, 0, F.col("bx"), none), kind(open_y, 1, none, F.col("by")), kind(open_x & open_y, 2, F.col("bx"), F.col("by")))
+    near = met.withColumn("g", F.explode(F.filter(kinds, lambda k: k.isNotNull()))).select("g.*", "x", "y", "n")
+    s = near.groupBy("kind", "a", "b").applyInArrow(inside, "s double").agg((F.coalesce(F.sum("s"), F.lit(0.0)) + F.lit(across)).alias("s"))
+    ties = lambda *k: c.groupBy(*k).agg(F.sum("n").alias("n"))
     tie = lambda d, name: d.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias(name))
-    n = rows.agg((F.count("*") * (F.count("*") - 1) / 2).alias("n0"))
+    n = c.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("n0"))
     den = F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))
-    return met.crossJoin(n).crossJoin(tie(ties("x"), "tx")).crossJoin(tie(ties("y"), "ty")).select(F.when(den > 0, F.col("s") / F.when(den > 0, den)).otherwise(0.0).alias("tau"))
+    return s.crossJoin(n).crossJoin(tie(ties("x"), "tx")).crossJoin(tie(ties("y"), "ty")).select(F.when(den > 0, F.col("s") / F.when(den > 0, den)).otherwise(0.0).alias("tau"))
+
+
+def running(counts: DataFrame, col: str, n: str = "n") -> DataFrame:
+    """counts(col, n) with ``upto``: the sum of n up to and with each value of col. Values are summed range by range, so
+    no task sees all of them."""
+    ranged = checkpointed(counts.repartitionByRange(col).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = ranged.groupBy("part").agg(F.sum(n).alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("in", F.sum(n).over(within)).join(F.broadcast(base), "part").withColumn("upto", F.col("in") + F.col("base")).drop("in", "base", "part")
 
 
 def ranks(rows: DataFrame, col: str, out: str) -> DataFrame:
     """rows with average ranks of col. Values are counted first; only distinct values are ordered."""
-    c = rows.groupBy(col).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(c.select(col, (upto - (F.col("n") - 1) / 2).alias(out)), col)
+    c = running(rows.groupBy(col).agg(F.count("*").alias("n")), col)
+    return rows.join(c.select(col, (F.col("upto") - (F.col("n") - 1) / 2).alias(out)), col)
 
 
 def spearman(rows: DataFrame) -> DataFrame:
@@ -91,10 +153,18 @@ def pearson(rows: DataFrame) -> DataFrame:
 def hit_at(detected: DataFrame, true: DataFrame, hops: float) -> DataFrame:
     """(hit): the share of detected(d) within ``hops`` of some true(t); 0 where either is empty.
 
-    true is reduced to its distinct values. Swapping the two gives the recall."""
-    d = detected.groupBy("d").agg(F.count("*").alias("n"))
-    near = d.join(F.broadcast(true.select("t").distinct()), F.abs(F.col("d") - F.col("t")) <= hops, "left_semi").agg(F.sum("n").alias("hits"))
-    return near.crossJoin(detected.agg(F.count("*").alias("all"))).select(F.when(F.col("all") > 0, F.coalesce("hits", F.lit(0)) / F.col("all")).otherwise(0.0).alias("hit"))
+    Swapping the two gives the recall. Of the true values, cells half as wide as ``hops`` keep their least and greatest,
+    which are the nearest ones of any value outside the cell; a value inside is near enough anyway."""
+    d, t = detected.groupBy("d").agg(F.count("*").alias("n")), true.where("t is not null")
+    if hops > 0:
+        cell = lambda x: F.floor(F.col(x) / (hops / 2))
+        cells = t.groupBy(cell("t").alias("cell")).agg(F.min("t").alias("low"), F.max("t").alias("high"))
+        asked = d.withColumn("off", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("cell", cell("d") + F.col("off"))
+        close = (F.col("off") == 0) | (F.least(F.abs(F.col("d") - F.col("low")), F.abs(F.col("d") - F.col("high"))) <= hops)
+        near = asked.join(cells, "cell").where(close).groupBy("d").agg(F.first("n").alias("n"))
+    else:
+        near = d.join(t, F.col("d") == F.col("t"), "left_semi")
+    return near.agg(F.sum("n").alias("hits")).crossJoin(detected.agg(F.count("*").alias("all"))).select(F.when(F.col("all") > 0, F.coalesce("hits", F.lit(0)) / F.col("all")).otherwise(0.0).alias("hit"))
 
 
 def mean_reciprocal_rank(true: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -111,8 +181,7 @@ def wilcoxon(rows: DataFrame) -> DataFrame:
     without a difference. Differences are counted first; only distinct sizes are ordered."""
     d = rows.select((F.col("x") - F.col("y")).alias("d")).where("d <> 0")
     c = d.groupBy(F.abs("d").alias("a")).agg(F.count("*").cast("double").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    upto = F.sum("t").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
-    c = c.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    c = running(c, "a", "t").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     none, n, t = F.lit(0.0), F.col("n"), F.col("t")
     s = c.agg(F.coalesce(F.sum("t"), none).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), none).alias("w"), F.coalesce(F.sum(t * t * t - t), none).alias("ties"))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
