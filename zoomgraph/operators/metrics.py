@@ -58,12 +58,13 @@ def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
     return _entropies(pairs).select(F.when(m <= 0, 1.0).otherwise((F.col("ht") + F.col("hp") - F.col("h")) / F.when(m <= 0, 1.0).otherwise(m)).alias("nmi"))
 
 
-def _earlier_and_less(v: np.ndarray, w: np.ndarray) -> float:
-    """The sum of w[i] * w[j] over j before i with v[j] < v[i], for whole numbers v from 0: one pass a bit of v."""
-    out = 0.0
-    for bit in range(int(v.max()).bit_length()):
-        order = np.argsort(v >> (bit + 1), kind="stable")
-        group, high, x = v[order] >> (bit + 1), (v[order] >> bit & 1).astype(bool), w[order]
+def _earlier_and_less(v: np.ndarray, w: np.ndarray, g: np.ndarray) -> float:
+    """The sum of w[i] * w[j] over j before i with v[j] < v[i] and equal g, for whole numbers from 0: one pass a bit of v."""
+    bits = int(v.max()).bit_length()
+    key, out = g << bits | v, 0.0
+    for bit in range(bits):
+        order = np.argsort(key >> (bit + 1), kind="stable")
+        group, high, x = key[order] >> (bit + 1), (key[order] >> bit & 1).astype(bool), w[order]
         low = np.cumsum(np.where(high, 0, x))
         start = np.searchsorted(group, group)
         before = np.where(start > 0, low[start - 1], 0)
@@ -71,13 +72,13 @@ def _earlier_and_less(v: np.ndarray, w: np.ndarray) -> float:
     return out
 
 
-def _concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """The sum over pairs of sign(dx) * sign(dy) * w * w."""
+def _concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray, g: np.ndarray) -> float:
+    """The sum over pairs with equal g of sign(dx) * sign(dy) * w * w."""
     if not len(x):
         return 0.0
     v = np.unique(y, return_inverse=True)[1]
     up, down = np.lexsort((-v, x)), np.lexsort((v, x))  # within one x no pair counts
-    return _earlier_and_less(v[up], w[up]) - _earlier_and_less(v.max() - v[down], w[down])
+    return _earlier_and_less(v[up], w[up], g[up]) - _earlier_and_less(v.max() - v[down], w[down], g[down])
 
 
 def kendall_tau(rows: DataFrame, grid: int = 256) -> DataFrame:
@@ -101,8 +102,13 @@ def kendall_tau(rows: DataFrame, grid: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out, t.column("x"), t.column("y"), t.column("n")], ["bx", "by", "x", "y", "n"])
 
     def inside(t: pa.Table) -> pa.Table:
-        sign = -1.0 if t.column("kind")[0].as_py() == 2 else 1.0
-        return pa.table({"s": [sign * _concordance(*(t.column(k).to_numpy() for k in ("x", "y", "n")))]})
+        """Pairs within a block; a block of x leaves those of one block of y as well to that."""
+        x, y, n, by = (t.column(k).to_numpy() for k in ("x", "y", "n", "by"))
+        s = _concordance(x, y, n, np.zeros(len(x), np.int64))
+        if t.column("a")[0].as_py() >= 0:
+            some = by % 2 == 0
+            s -= _concordance(x[some], y[some], n[some], by[some].astype(np.int64))
+        return pa.table({"s": [s]})
 
     met = both.mapInArrow(label, "bx int, by int, x double, y double, n double")
     count = np.zeros((2 * len(cuts[0]) + 1, 2 * len(cuts[1]) + 1))
@@ -112,11 +118,10 @@ def kendall_tau(rows: DataFrame, grid: int = 256) -> DataFrame:
     less = np.cumsum(left, 1) - left
     more = left.sum(1, keepdims=True) - less - left
     across = float((count * (less - more)).sum())
-    open_x, open_y, none = F.col("bx") % 2 == 0, F.col("by") % 2 == 0, F.lit(-1)
-    kind = lambda at, i, a, b: F.when(at, F.struct(F.lit(i).alias("kind"), a.alias("a"), b.alias("b")))
-    kinds = F.array(kind(open_x, 0, F.col("bx"), none), kind(open_y, 1, none, F.col("by")), kind(open_x & open_y, 2, F.col("bx"), F.col("by")))
-    near = met.withColumn("g", F.explode(F.filter(kinds, lambda k: k.isNotNull()))).select("g.*", "x", "y", "n")
-    s = near.groupBy("kind", "a", "b").applyInArrow(inside, "s double").agg((F.coalesce(F.sum("s"), F.lit(0.0)) + F.lit(across)).alias("s"))
+    block = lambda at, a, b: F.when(F.col(at) % 2 == 0, F.struct(a.alias("a"), b.alias("b")))
+    blocks = F.filter(F.array(block("bx", F.col("bx"), F.lit(-1)), block("by", F.lit(-1), F.col("by"))), lambda k: k.isNotNull())
+    near = met.withColumn("g", F.explode(blocks)).select("g.*", "x", "y", "n", "by")
+    s = near.groupBy("a", "b").applyInArrow(inside, "s double").agg((F.coalesce(F.sum("s"), F.lit(0.0)) + F.lit(across)).alias("s"))
     ties = lambda *k: c.groupBy(*k).agg(F.sum("n").alias("n"))
     tie = lambda d, name: d.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias(name))
     n = c.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("n0"))
