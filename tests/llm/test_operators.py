@@ -462,6 +462,17 @@ def test_leaks(spark, bench):
     assert got == {(1, 0), (3, 0)}
 
 
+def test_shares_of_a_large_test_set_find_the_same(spark, monkeypatch):
+    items = [f"{noise(100 + i, 9 + i % 7, 80)}? {noise(200 + i, 5, 80)}." for i in range(60)] + ["", None, "..."]
+    held = spark.createDataFrame(list(enumerate(items)) + [(None, items[0])], "item_id long, text string").repartition(4)
+    docs = made(spark, [noise(i, 200, 80) + " " + items[i] + " " + noise(50 + i, 150, 80) for i in range(0, 60, 4)])
+    found = lambda: sorted(map(str, decontaminate.leaks(docs, held).collect()))
+    whole = found()
+    assert len(whole) >= 16
+    monkeypatch.setattr(decontaminate, "SENT", 1000)
+    assert found() == whole
+
+
 def test_token_allocation():
     tokens, bounds = np.array([0, 3, 8, 9, 12]), np.array([0, 4, 10, 12])
     counts = lambda rule: token_counts.allocate(tokens, bounds, rule)[0].tolist()

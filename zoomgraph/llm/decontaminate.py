@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table, text_bytes
 from .textkit import LOWER, PUNCTUATION, groups, mix, pieces, words
 
 K1, B, BLOCK = 1.2, 0.75, 2
@@ -25,6 +26,9 @@ THRESHOLD, OVERLAP, LEAST_STRIDE = 0.6, 0.5, 32
 #: Items of one index; more are searched part by part, with the statistics of all.
 PART = 20_000
 CELLS = 1 << 22
+#: Bytes of items that are sent to the executors at once; a larger test set is searched share by share, with the
+#: statistics of all.
+SENT = 64 << 20
 
 
 def _words(texts: list[str]):
@@ -134,17 +138,26 @@ class Index:
         return out
 
 
-def build(rows: list[tuple[int, str]]) -> tuple[list[Index], int]:
-    """Indexes of all items with words, and the stride of passages. rows: (item_id, text)."""
+def _frequencies(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, the hashes of distinct words, and how many texts have them."""
+    w = _words(texts)
+    h, df = np.unique(np.unique(np.stack([w.hash, w.doc().astype(np.uint64)], 1), axis=0)[:, 0], return_counts=True)
+    return w.counts, h, df
+
+
+def build(rows: list[tuple[int, str]], known: tuple[int, int, int, dict[int, int]] | None = None) -> tuple[list[Index], int]:
+    """Indexes of all items with words, and the stride of passages. rows: (item_id, text). ``known``: number, words, longest
+    and document frequencies of all items, where rows are only some of them."""
     rows = [r for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)) if r[1]]
-    w = _words([t for _, t in rows])
-    rows, n = [r for r, k in zip(rows, w.counts, strict=True) if k], w.counts[w.counts > 0]
+    n, h, df = _frequencies([t for _, t in rows])
+    rows = [r for r, k in zip(rows, n, strict=True) if k]
     if not rows:
         return [], LEAST_STRIDE
-    h, df = np.unique(np.unique(np.stack([w.hash, w.doc().astype(np.uint64)], 1), axis=0)[:, 0], return_counts=True)
-    idf = dict(zip(h.tolist(), np.log(1 + (len(rows) - df + 0.5) / (df + 0.5)).tolist(), strict=True))
+    items, total, longest, found = known or (len(rows), int(n.sum()), int(n.max()), dict(zip(h.tolist(), df.tolist(), strict=True)))
+    df = np.array([found[x] for x in h.tolist()])
+    idf = dict(zip(h.tolist(), np.log(1 + (items - df + 0.5) / (df + 0.5)).tolist(), strict=True))
     parts = [rows[i : i + PART] for i in range(0, len(rows), PART)]
-    return [Index([i for i, _ in p], [t for _, t in p], idf, float(n.mean())) for p in parts], max(LEAST_STRIDE, int(n.max()))
+    return [Index([i for i, _ in p], [t for _, t in p], idf, total / items) for p in parts], max(LEAST_STRIDE, longest)
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, score double, question double, answer double"
@@ -198,10 +211,42 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     One row for each row of docs and item, with the best of its passages. Words are runs of letters and
     digits, A-Z lowered. Null and empty texts and items without words match nothing; an item of fewer words
     than three in a part is compared by words. Null ids are kept; repeated items are reported each. The
-    items are collected: they are a test set; the texts are searched where they are read, without shuffle."""
-    built = build([tuple(r) for r in items.select("item_id", "text").collect()])
-    sent = docs.sparkSession.sparkContext.broadcast(built)
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lambda b: _search(sent, b), SCHEMA)
+    items are sent to the executors, at most about SENT bytes at once: a larger test set is searched share by share.
+    The texts are searched where they are read, without shuffle."""
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def search(built):
+        sent = docs.sparkSession.sparkContext.broadcast(built)
+        return texts.mapInArrow(lambda b: _search(sent, b), SCHEMA), sent
+
+    shares = -(-text_bytes(items) // SENT)
+    if shares <= 1:
+        return search(build([tuple(r) for r in items.collect()]))[0]
+    share = F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)).cast("int")
+    stats = cut(items.where("text is not null").select(share.alias("share"), "text").mapInArrow(_stats, "share int, h long, df long, items long, words long, longest long"))
+    every = stats.where("h is null").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    df = stats.where("h is not null").groupBy("h").agg(F.sum("df").alias("df"))
+    out = []
+    for i in range(shares):
+        mine = stats.where((F.col("share") == i) & F.col("h").isNotNull()).select("h").distinct().join(df, "h").collect()
+        rows = [tuple(r) for r in items.where(share == i).collect()]
+        found, sent = search(build(rows, (*every, {r["h"] % 2**64: r["df"] for r in mine})))
+        out.append(cut(found))
+        sent.destroy()
+    return reduce(DataFrame.union, out)
+
+
+def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of the words of each share's items in a batch, and a row of counts."""
+    for b in batches:
+        share, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+        for i in np.unique(share):
+            n, h, df = _frequencies([t for t, s in zip(texts, share, strict=True) if s == i])
+            k = len(h)
+            nones = [None] * k
+            cols = ([i] * (k + 1), [*h.view(np.int64).tolist(), None], [*df.tolist(), None], [*nones, int((n > 0).sum())], [*nones, int(n.sum())], [*nones, int(n.max(initial=0))])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.int64()] * 5), strict=True)], ["share", "h", "df", "items", "words", "longest"])
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
