@@ -27,6 +27,30 @@ def test_blocks_do_not_change_neighbours(spark, monkeypatch):
     assert {tuple(r) for r in knn.knn(p, 7).select("i", "j", "rank").collect()} == whole
 
 
+def test_only_finished_neighbours_leave_a_strip_and_the_graph_searches_once(spark, monkeypatch):
+    p, x = points(spark, 90, extra=[np.full(3, 0.1)] * 40)
+    monkeypatch.setattr(knn.blocks, "__defaults__", (16,))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(knn.knn(p, 7))
+    assert "MapInArrow" not in plan(knn.knn_graph(p, 7))
+    for metric in ("poincare", "euclidean"):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        if metric == "poincare":
+            s = 1 - (x * x).sum(1)
+            d = 2 * np.arcsinh(d / np.sqrt(s[:, None] * s[None]))
+        np.fill_diagonal(d, np.inf)
+        got = {(r["i"], r["rank"]): r["j"] for r in knn.knn(p, 7, metric).collect()}
+        assert got == {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:7].tolist())}
+
+
+def test_exact_median_by_ranges(spark):
+    rng = np.random.default_rng(1)
+    for v in ([], [3.0], [1.0, 2.0], [2.0] * 9 + [1e-300, 1e300], rng.lognormal(0, 9, 501), np.r_[rng.random(300), rng.random(300)], [1.0, np.nextafter(1.0, 2), 1.0, np.nextafter(1.0, 2)]):
+        df = spark.createDataFrame([(float(a),) for a in v], "d double")
+        want = df.agg(F.median("d")).first()[0]
+        assert knn.median(df, bins=4) == want and knn.median(df) == want
+
+
 def test_knn_edges(spark):
     p, _ = points(spark)
     one = p.where("node_id = 0")

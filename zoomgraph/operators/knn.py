@@ -1,8 +1,8 @@
 """k-nearest-neighbour graphs over points(node_id, x).
 
-All points against all points is worked in blocks: packed blocks of points meet pairwise, each pair gives
-the local k best, and the best of a point's local lists are its neighbours. No side is broadcast and no task
-holds more than two blocks. Ties go to the smaller neighbour id, and a point is never its own neighbour."""
+All points against all points is worked in strips of packed blocks: a task holds the points of one strip and the
+k best of each so far, and all blocks stream past it, so only finished neighbours leave it. No side is broadcast.
+Ties go to the smaller neighbour id, and a point is never its own neighbour."""
 
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions import geometry as G
+from .graph import checkpointed
 
 BLOCK = 512
+#: Blocks of a strip, at most: every block is sent to each strip once.
+STRIP = 16
 #: Planes of a tree of the approximate search; a point's sides of them are one 64-bit code.
 BITS = 62
 
@@ -50,35 +52,125 @@ def _least(d: np.ndarray, m: int) -> np.ndarray:
     return at
 
 
+class _Best:
+    """The k nearest so far of the points of one block.
+
+    A product of matrices gives, row by row, a key in the order of the distances; pairs whose key is within rounding of
+    the row's k-th best are measured from their differences, so copies have equal distances."""
+
+    def __init__(self, block: int, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
+        self.block, self.ids, self.x, self.k, self.metric = block, ids, x, k, metric
+        self.xx = (x * x).sum(1)
+        self.left = np.column_stack([x, self.xx, np.ones(len(x))])
+        self.limit = np.full((len(x), 1), np.inf)
+        self.at, self.j, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.held, self.count = [], 0
+
+    def meet(self, block: int, ids: np.ndarray, y: np.ndarray, yy: np.ndarray, right: np.ndarray, slack: float) -> None:
+        key = self.left @ right
+        if block == self.block:
+            key[self.ids[:, None] == ids[None, :]] = np.inf
+        limit = self.limit
+        if not np.isfinite(limit).all() and self.k < len(ids):
+            limit = np.minimum(limit, self._loose(np.partition(key, self.k - 1, axis=1)[:, self.k - 1 : self.k])) if (self.xx < 1).all() or self.metric == "euclidean" else limit
+        i, c = np.divmod(np.flatnonzero(key <= limit + slack * (1 + self.xx.max())), len(ids))
+        for s in range(0, len(i), 1 << 15):
+            a, b = i[s : s + (1 << 15)], c[s : s + (1 << 15)]
+            d = np.sqrt(((self.x[a] - y[b]) ** 2).sum(1))
+            if self.metric == "poincare":
+                d = 2 * np.arcsinh(d / np.sqrt((1 - self.xx[a]) * (1 - yy[b])))
+            ok = np.isfinite(d) & (self.ids[a] != ids[b])
+            self.held.append((a[ok], ids[b[ok]], d[ok]))
+            self.count += int(ok.sum())
+        if self.count > self.k * len(self.ids):
+            self.settle()
+
+    @staticmethod
+    def _loose(key: np.ndarray) -> np.ndarray:
+        return key + 1e-9 * np.abs(key)
+
+    def settle(self) -> None:
+        at, j, d = (np.concatenate([one, *more]) for one, more in zip((self.at, self.j, self.d), zip(*self.held) if self.held else ((), (), ()), strict=True))
+        order = np.lexsort((j, d, at))
+        at, j, d = at[order], j[order], d[order]
+        starts = np.searchsorted(at, np.arange(len(self.ids)))
+        rank = np.arange(len(at)) - starts[at]
+        keep = rank < self.k
+        self.at, self.j, self.d, self.rank = at[keep], j[keep], d[keep], rank[keep]
+        last = self.rank == self.k - 1
+        far, xx = self.d[last], self.xx[self.at[last]]
+        # outside the ball keys have no order, and nothing is ruled out
+        far = far**2 if self.metric == "euclidean" else np.where(xx < 1, np.sinh(far / 2) ** 2 * (1 - xx), np.inf)
+        self.limit[self.at[last], 0] = self._loose(far)
+        self.held, self.count = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.settle()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.at]), pa.array(self.j), pa.array(self.d), pa.array((self.rank + 1).astype(np.int32))], ["i", "j", "d", "rank"])
+
+
+def _nearest(k: int, metric: str):
+    """Rows (strip, far, block, ids, xs) in this order, the strip's own blocks first -> rows (i, j, d, rank)."""
+
+    def meet(own: list[_Best], block: int, ids: np.ndarray, y: np.ndarray) -> None:
+        yy = (y * y).sum(1)
+        a = np.ones(len(y)) if metric == "euclidean" else 1 / (1 - yy)
+        right = np.vstack([(-2 * a[:, None] * y).T, a, a * yy])
+        slack = 1e-13 * float(np.abs(a).max() * (1 + yy.max()))
+        for one in own:
+            one.meet(block, ids, y, yy, right, slack)
+
+    def run(batches):
+        strip, own, met = None, [], False
+        with np.errstate(all="ignore"):
+            for b in batches:
+                for s, far, block, ids, xs in zip(*(b.column(c).to_pylist() for c in ("strip", "far", "block", "ids", "xs")), strict=True):
+                    if s != strip:
+                        yield from _finished(own, met, meet)
+                        strip, own, met = s, [], False
+                    ids = np.frombuffer(ids, np.int64)
+                    x = np.frombuffer(xs).reshape(len(ids), -1)
+                    if not far:
+                        own.append(_Best(block, ids, x, k, metric))
+                        continue
+                    if not met:
+                        _meet_own(own, meet)
+                        met = True
+                    meet(own, block, ids, x)
+            yield from _finished(own, met, meet)
+
+    return run
+
+
+def _meet_own(own: list[_Best], meet) -> None:
+    for other in own:
+        meet(own, other.block, other.ids, other.x)
+
+
+def _finished(own: list[_Best], met: bool, meet):
+    if not met:
+        _meet_own(own, meet)
+    for one in own:
+        yield one.rows()
+
+
 def knn(points: DataFrame, k: int | None = None, metric: str = "poincare", n: int | None = None) -> DataFrame:
     """(i, j, d, rank): the k nearest neighbours j of every i, rank from 1."""
     if metric not in ("poincare", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
     n = points.count() if n is None else n
     k = default_k(n) if k is None else min(k, max(0, n - 1))
-    schema = "i long, j long, d double"
+    schema = "i long, j long, d double, rank int"
     if n <= 1 or k < 1:
-        return points.sparkSession.createDataFrame([], schema + ", rank int")
+        return points.sparkSession.createDataFrame([], schema)
     packed, count = blocks(points, n)
-    right = packed.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
-    # every block is sent to each of the blocks it meets
-    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-
-    def best(batches):
-        for b in batches:
-            for ids, xs, ids2, xs2 in zip(*(b.column(c).to_pylist() for c in ("ids", "xs", "ids2", "xs2")), strict=True):
-                a, c = np.frombuffer(ids, np.int64), np.frombuffer(ids2, np.int64)
-                d = arrays.distances(np.frombuffer(xs).reshape(len(a), -1), np.frombuffer(xs2).reshape(len(c), -1), metric)
-                d[a[:, None] == c[None, :]] = np.inf
-                m = min(k, len(c))
-                at = _least(d, m)
-                i, j, v = np.repeat(a, m), c[at].ravel(), np.take_along_axis(d, at, 1).ravel()
-                ok = np.isfinite(v)
-                yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(j[ok]), pa.array(v[ok])], ["i", "j", "d"])
-
-    near = left.join(right.hint("merge"), "other").mapInArrow(best, schema)
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    # the tasks of the strips fill the cores evenly
+    cores = max(1, points.sparkSession.sparkContext.defaultParallelism)
+    strips = min(count, -(--(-count // STRIP) // cores) * cores) if count > cores else count
+    sent = packed.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    sent = sent.select("strip", (F.col("block") % strips != F.col("strip")).alias("far"), "block", "ids", "xs")
+    order = ["strip", "far", "block"]
+    return sent.repartitionById(strips, F.col("strip")).sortWithinPartitions(*order).mapInArrow(_nearest(k, metric), schema)
 
 
 def _codes(planes: list[tuple[np.ndarray, np.ndarray]]):
@@ -175,8 +267,40 @@ def knn_approx(points: DataFrame, k: int | None = None, oversampling: int = 3, n
 
 
 def symmetric(near: DataFrame) -> DataFrame:
-    """(i, j, d) in both directions, once each: an edge where either end has the other as a neighbour."""
-    return near.select("i", "j", "d").union(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).groupBy("i", "j").agg(F.min("d").alias("d"))
+    """(i, j, d) in both directions, once each: an edge where either end has the other as a neighbour. Rows of one i
+    lie together, so that sums by i need no further exchange."""
+    both = near.select("i", "j", "d").union(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    return both.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"))
+
+
+def median(values: DataFrame, bins: int = 4096) -> float | None:
+    """The exact median of the one column of ``values``, which is read once for every factor of ``bins``: counts by
+    equal ranges, then by the ranges of the one that holds the middle. No task gathers the values."""
+    v = values.select(F.col(values.columns[0]).cast("double").alias("v")).where("v is not null")
+    low, high, n = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    found = []
+    one, two = (n - 1) // 2, n // 2  # places from 0
+    while low < high:
+        width = (high - low) / bins
+        if not width > 0 or low + width == low:
+            rows = v.where(F.col("v").between(low, high)).groupBy("v").count().orderBy("v").collect()
+            rows = [(r["v"], r["v"], r["count"]) for r in rows]
+        else:
+            at = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))
+            rows = v.where(F.col("v").between(low, high)).groupBy(at.alias("bin")).agg(F.min("v"), F.max("v"), F.count("*")).orderBy("bin").collect()
+            rows = [tuple(r)[1:] for r in rows]
+        seen = 0
+        for small, large, c in rows:
+            if one < seen + c:
+                break
+            seen += c
+        if two == seen + c:  # the second is the least of the next range
+            found = [large, rows[rows.index((small, large, c)) + 1][0]]
+            break
+        low, high, one, two = small, large, one - seen, two - seen
+    return (found[0] + found[1]) / 2 if found else low
 
 
 def tau(near: DataFrame, mode: str = "symmetric") -> DataFrame:
@@ -184,15 +308,28 @@ def tau(near: DataFrame, mode: str = "symmetric") -> DataFrame:
     if mode not in ("symmetric", "directed"):
         raise ValueError(f"unknown mode {mode!r}")
     d = symmetric(near) if mode == "symmetric" else near
-    return d.agg(F.greatest(F.median("d"), F.lit(1e-10)).alias("tau"))
+    return near.sparkSession.createDataFrame([(_tau(checkpointed(d), mode),)], "tau double")
+
+
+def _tau(rows: DataFrame, mode: str) -> float:
+    """Of edges in both directions, each with the same distance, one direction has the same median."""
+    return max(median((rows.where("i < j") if mode == "symmetric" else rows).select("d")) or 0.0, 1e-10)
 
 
 def knn_graph(points: DataFrame, k: int | None = None, metric: str = "poincare", weighted: bool = True, tau_mode: str = "symmetric", tau_value: float | None = None, approx: bool = False) -> DataFrame:
-    """(i, j, d, w), both directions: exp(-d^2 / (2 tau^2)), or 1.0 unweighted."""
+    """(i, j, d, w), both directions: exp(-d^2 / (2 tau^2)), or 1.0 unweighted.
+
+    Where tau is worked out, the neighbours are searched once and what tau is read from is checkpointed."""
+    if tau_mode not in ("symmetric", "directed"):
+        raise ValueError(f"unknown mode {tau_mode!r}")
     near = knn_approx(points, k) if approx else knn(points, k, metric)
-    edges = symmetric(near)
     if not weighted:
-        return edges.withColumn("w", F.lit(1.0))
+        return symmetric(near).withColumn("w", F.lit(1.0))
+    if tau_value is None and tau_mode == "directed":
+        near = checkpointed(near)
+        tau_value = _tau(near, tau_mode)
+    edges = symmetric(near)
     if tau_value is None:
-        tau_value = tau(near, tau_mode).first()["tau"] or 1e-10
+        edges = checkpointed(edges)
+        tau_value = _tau(edges, tau_mode)
     return edges.withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * tau_value * tau_value)))
