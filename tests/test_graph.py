@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from zoomgraph.functions import arrays
 from zoomgraph.operators import diffusion, graph, knn, spectral
+from zoomgraph.plans import graphs
 
 
 def points(spark, n=30, d=3, seed=42, extra=()):
@@ -51,6 +52,13 @@ def test_exact_median_by_ranges(spark):
         assert knn.median(df, bins=4) == want and knn.median(df) == want
 
 
+@pytest.mark.parametrize("name", ["combinatorial_laplacian"])
+def test_laplacians_read_the_graph_of_one_search(spark, name):
+    df = graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "MapInArrow" not in plan and "Window" not in plan
+
+
 def test_knn_edges(spark):
     p, _ = points(spark)
     one = p.where("node_id = 0")
