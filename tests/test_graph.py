@@ -52,7 +52,7 @@ def test_exact_median_by_ranges(spark):
         assert knn.median(df, bins=4) == want and knn.median(df) == want
 
 
-@pytest.mark.parametrize("name", ["combinatorial_laplacian", "degrees", "normalized_laplacian"])
+@pytest.mark.parametrize("name", ["combinatorial_laplacian", "degrees", "normalized_laplacian", "laplacian_l1_norm"])
 def test_laplacians_read_the_graph_of_one_search(spark, name):
     df = graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
