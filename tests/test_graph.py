@@ -125,6 +125,21 @@ def test_heat_weights(spark):
         diffusion.heat_weights_at(vals, vecs, 99, 1.0)
 
 
+def test_powers_are_passes_over_packed_rows(spark):
+    rng = np.random.default_rng(3)
+    a = np.triu(rng.random((40, 40)) * (rng.random((40, 40)) < 0.1), 1)
+    a = (a + a.T) / 5
+    ids = np.sort(rng.choice(10**12, 40, replace=False))
+    nodes = spark.createDataFrame([(int(i),) for i in ids], "node_id long")
+    rows = [(int(ids[i]), int(ids[j]), float(a[i, j] / 2)) for i, j in np.argwhere(a)] * 2  # repeated entries add up
+    df = diffusion.heat_weights_by_powers(nodes, spark.createDataFrame(rows, "i long, j long, v double"), int(ids[7]), 1.5)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    w, v = np.linalg.eigh(a)
+    want = v @ (np.exp(1.5 * w) * v[7])
+    got = {r["node_id"]: r["w"] for r in df.collect()}
+    np.testing.assert_allclose([got[i] for i in ids.tolist()], want / want.sum(), atol=1e-10)
+
+
 def test_spectral_gap(spark):
     def gap(lam, ratio):
         return [r["k"] for r in spectral.spectral_gap(spark.createDataFrame(list(enumerate(lam)), "k int, lambda double"), ratio).orderBy("place").collect()]
