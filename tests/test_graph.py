@@ -140,6 +140,27 @@ def test_powers_are_passes_over_packed_rows(spark):
     np.testing.assert_allclose([got[i] for i in ids.tolist()], want / want.sum(), atol=1e-10)
 
 
+@pytest.mark.parametrize("name", ["heat_weights_exact"])
+def test_all_modes_need_no_eigenpairs(spark, monkeypatch, name):
+    monkeypatch.setattr(spectral, "eigen", lambda *a: pytest.fail("a dense decomposition"))
+    assert graphs.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("bound", [None, 2.0])
+def test_exact_heat_weights_are_those_of_all_eigenpairs(spark, bound):
+    nodes = spark.range(31).withColumnRenamed("id", "node_id")  # 30 is isolated
+    edges = graph.undirected(spark.createDataFrame([(i, j) for i in range(30) for j in (0, (i * 7 + 1) % 30, (i + 1) % 30)], "src long, dst long"))
+    lap = graph.checkpointed(graph.normalized_laplacian(nodes, edges))
+    foci, grid = spark.createDataFrame([(0,), (17,), (30,), (99,)], "focus long"), spark.createDataFrame([(0, 0.0), (1, 0.3), (2, 40.0)], "sigma_idx int, sigma double")
+    got = diffusion.heat_weights_exact(nodes, lap, foci, grid, bound)
+    want = diffusion.heat_weights(*spectral.eigen(lap), foci, grid)
+    assert got.dtypes == [("focus", "bigint"), ("sigma_idx", "int"), ("sigma", "double"), ("node_id", "bigint"), ("w", "double")]
+    key = lambda df: {(r["focus"], r["sigma_idx"], r["node_id"]): r["w"] for r in df.collect()}
+    got, want = key(got), key(want)
+    assert got.keys() == want.keys() and len(got) == 3 * 3 * 31
+    np.testing.assert_allclose([got[x] for x in want], list(want.values()), atol=1e-9)
+
+
 def test_spectral_gap(spark):
     def gap(lam, ratio):
         return [r["k"] for r in spectral.spectral_gap(spark.createDataFrame(list(enumerate(lam)), "k int, lambda double"), ratio).orderBy("place").collect()]
