@@ -140,7 +140,7 @@ def test_powers_are_passes_over_packed_rows(spark):
     np.testing.assert_allclose([got[i] for i in ids.tolist()], want / want.sum(), atol=1e-10)
 
 
-@pytest.mark.parametrize("name", ["heat_weights_exact"])
+@pytest.mark.parametrize("name", ["heat_weights_exact", "weight_divergence"])
 def test_all_modes_need_no_eigenpairs(spark, monkeypatch, name):
     monkeypatch.setattr(spectral, "eigen", lambda *a: pytest.fail("a dense decomposition"))
     assert graphs.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
