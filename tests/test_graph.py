@@ -44,6 +44,21 @@ def test_only_finished_neighbours_leave_a_strip_and_the_graph_searches_once(spar
         assert got == {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:7].tolist())}
 
 
+def test_blocks_are_streamed_to_strips_not_written_for_each_and_searched_once(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p, x = points(spark, 150, extra=[np.full(3, 0.1)] * 40)
+    monkeypatch.setattr(knn.blocks, "__defaults__", (16,))
+    monkeypatch.setattr(knn, "STRIP", 2)
+    near = knn.knn(p, 7)
+    assert "Exchange" not in plan(near)
+    assert near.rdd.getNumPartitions() == 8  # 12 blocks of 4 cores
+    assert plan(knn.symmetric(near)).count("MapInArrow") == 1
+    d = arrays.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["i"], r["rank"]): r["j"] for r in near.collect()}
+    assert got == {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(np.argsort(d[i].round(12), kind="stable")[:7].tolist())}
+
+
 def test_exact_median_by_ranges(spark):
     rng = np.random.default_rng(1)
     for v in ([], [3.0], [1.0, 2.0], [2.0] * 9 + [1e-300, 1e300], rng.lognormal(0, 9, 501), np.r_[rng.random(300), rng.random(300)], [1.0, np.nextafter(1.0, 2), 1.0, np.nextafter(1.0, 2)]):

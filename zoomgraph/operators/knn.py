@@ -1,7 +1,8 @@
 """k-nearest-neighbour graphs over points(node_id, x).
 
 All points against all points is worked in strips of packed blocks: a task holds the points of one strip and the
-k best of each so far, and all blocks stream past it, so only finished neighbours leave it. No side is broadcast.
+k best of each so far, and all blocks stream past it from their checkpoint, so only finished neighbours leave it. No
+side is broadcast, and no block is written more than once however many strips there are.
 Ties go to the smaller neighbour id, and a point is never its own neighbour."""
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from ..functions import arrays
 from .graph import checkpointed
 
 BLOCK = 512
-#: Blocks of a strip, at most: every block is sent to each strip once.
+#: Blocks of a strip, at most: every strip reads each block once.
 STRIP = 16
 #: Planes of a tree of the approximate search; a point's sides of them are one 64-bit code.
 BITS = 62
@@ -110,7 +111,7 @@ class _Best:
 
 
 def _nearest(k: int, metric: str):
-    """Rows (strip, far, block, ids, xs) in this order, the strip's own blocks first -> rows (i, j, d, rank)."""
+    """Rows (strip, far, block, ids, xs), the strip's own blocks first -> rows (i, j, d, rank)."""
 
     def meet(own: list[_Best], block: int, ids: np.ndarray, y: np.ndarray) -> None:
         yy = (y * y).sum(1)
@@ -131,6 +132,8 @@ def _nearest(k: int, metric: str):
                     ids = np.frombuffer(ids, np.int64)
                     x = np.frombuffer(xs).reshape(len(ids), -1)
                     if not far:
+                        if met:
+                            raise RuntimeError("a strip's own blocks come first")
                         own.append(_Best(block, ids, x, k, metric))
                         continue
                     if not met:
@@ -167,10 +170,14 @@ def knn(points: DataFrame, k: int | None = None, metric: str = "poincare", n: in
     # the tasks of the strips fill the cores evenly
     cores = max(1, points.sparkSession.sparkContext.defaultParallelism)
     strips = min(count, -(--(-count // STRIP) // cores) * cores) if count > cores else count
-    sent = packed.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    sent = sent.select("strip", (F.col("block") % strips != F.col("strip")).alias("far"), "block", "ids", "xs")
-    order = ["strip", "far", "block"]
-    return sent.repartitionById(strips, F.col("strip")).sortWithinPartitions(*order).mapInArrow(_nearest(k, metric), schema)
+    # one partition of blocks (twice: for their own strip, then for the others) times a partition for each strip: every
+    # task streams the left side from the checkpoint and holds one row of the right
+    packed = checkpointed(packed)
+    turn = lambda far: packed.withColumn("far", F.lit(far)).coalesce(1)
+    numbers = points.sparkSession.range(0, strips, 1, strips).select(F.col("id").cast("int").alias("strip"))
+    meets = F.col("far") == (F.col("block") % strips != F.col("strip"))
+    sent = turn(False).union(turn(True)).coalesce(1).join(numbers.hint("shuffle_replicate_nl"), meets)
+    return sent.select("strip", "far", "block", "ids", "xs").mapInArrow(_nearest(k, metric), schema)
 
 
 def _codes(planes: list[tuple[np.ndarray, np.ndarray]]):
@@ -268,8 +275,8 @@ def knn_approx(points: DataFrame, k: int | None = None, oversampling: int = 3, n
 
 def symmetric(near: DataFrame) -> DataFrame:
     """(i, j, d) in both directions, once each: an edge where either end has the other as a neighbour. Rows of one i
-    lie together, so that sums by i need no further exchange."""
-    both = near.select("i", "j", "d").union(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    lie together, so that sums by i need no further exchange. ``near`` is worked out once."""
+    both = near.selectExpr("inline(array(struct(i, j, d), struct(j as i, i as j, d)))")
     return both.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"))
 
 
