@@ -74,6 +74,16 @@ def test_laplacians_read_the_graph_of_one_search(spark, name):
     assert "Scan ExistingRDD" in plan and "MapInArrow" not in plan and "Window" not in plan
 
 
+@pytest.mark.parametrize("name", ["degrees"])
+def test_neighbours_are_searched_once_and_blocks_written_once(spark, monkeypatch, name):
+    kept, keep = [], knn.checkpointed
+    monkeypatch.setattr(knn, "checkpointed", lambda df: kept.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
+    blocks, edges = kept  # what the search reads, and what comes of it
+    assert "strip" not in blocks
+    assert edges.count("MapInArrow") == 1 and "Exchange" not in edges.split("MapInArrow")[1]
+
+
 def test_knn_edges(spark):
     p, _ = points(spark)
     one = p.where("node_id = 0")
