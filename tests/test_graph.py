@@ -74,7 +74,7 @@ def test_laplacians_read_the_graph_of_one_search(spark, name):
     assert "Scan ExistingRDD" in plan and "MapInArrow" not in plan and "Window" not in plan
 
 
-@pytest.mark.parametrize("name", ["combinatorial_laplacian", "degrees", "normalized_laplacian", "laplacian_l1_norm", "heat_weights_exact"])
+@pytest.mark.parametrize("name", ["combinatorial_laplacian", "degrees", "normalized_laplacian", "laplacian_l1_norm", "heat_weights_exact", "weight_divergence"])
 def test_neighbours_are_searched_once_and_blocks_written_once(spark, monkeypatch, name):
     kept, keep = [], knn.checkpointed
     monkeypatch.setattr(knn, "checkpointed", lambda df: kept.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
