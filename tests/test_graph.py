@@ -84,6 +84,32 @@ def test_neighbours_are_searched_once_and_blocks_written_once(spark, monkeypatch
     assert edges.count("MapInArrow") == 1 and "Exchange" not in edges.split("MapInArrow")[1]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["combinatorial_laplacian", "degrees", "normalized_laplacian", "laplacian_l1_norm", "heat_weights_exact", "weight_divergence"])
+def test_blocks_are_not_shuffled_and_edges_kept_once(spark, monkeypatch, name):
+    kept, keep = [], knn.checkpointed
+    monkeypatch.setattr(knn, "checkpointed", lambda df: kept.append(df) or keep(df))
+    graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
+    packed, edges = kept
+    assert "Exchange" not in _plan(packed)
+    n, ordered, unlike = edges.selectExpr("count(*)", "count_if(i < j)", "count(distinct i, j)").first()
+    assert n == ordered == unlike > 0
+
+
+def test_blocks_hold_every_point_once_however_the_input_is_dealt(spark):
+    p, x = points(spark, 100)
+    for parts in (1, 3, 60):
+        rows = knn.blocks(p.repartition(parts, "node_id"), 100, 16).collect()
+        assert all(len(r["ids"]) <= 16 * 8 for r in rows) and len({(r["part"], r["at"]) for r in rows}) == len(rows) <= 13
+        got = {i: v for r in rows for i, v in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["xs"]).reshape(-1, 3).tolist(), strict=True)}
+        assert sum(len(r["ids"]) for r in rows) == 800 and got == dict(enumerate(x.tolist()))
+    with pytest.raises(Exception, match="unlike dimensions"):
+        knn.blocks(p.union(spark.createDataFrame([(100, [0.1] * 2)], p.schema)).coalesce(1), 101).collect()
+
+
 def test_knn_edges(spark):
     p, _ = points(spark)
     one = p.where("node_id = 0")

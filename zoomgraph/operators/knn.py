@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from .graph import checkpointed
+from .graph import both, checkpointed
 
 BLOCK = 512
 #: Blocks of a strip, at most: every strip reads each block once.
@@ -26,18 +28,22 @@ def default_k(n: int) -> int:
     return min(max(10, min(int(n**0.5), 50)), max(0, n - 1))
 
 
-def blocks(points: DataFrame, n: int, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """(block, ids, xs): about ``size`` points a row, packed; and the number of blocks."""
-    count = max(1, -(-n // size))
+def blocks(points: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
+    """(part, at, ids, xs): at most ``size`` points a row, packed where they are read, so that nothing is shuffled."""
 
-    def pack(t: pa.Table) -> pa.Table:
-        ids = t.column("node_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x = np.array(t.column("x").to_pylist(), float)[order]
-        return pa.table({"block": t.column("block").slice(0, 1), "ids": [ids[order].tobytes()], "xs": [x.tobytes()]})
+    def pack(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            lengths = pc.unique(pc.list_value_length(b.column(1)))
+            if len(lengths) > 1:
+                raise ValueError("points of unlike dimensions")
+            ids, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for own in np.array_split(np.argsort(ids, kind="stable"), -(-b.num_rows // size)) if b.num_rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([x[own].tobytes()])], ["part", "at", "ids", "xs"])
+                at += 1
 
-    keyed = points.select(F.pmod(F.xxhash64("node_id"), F.lit(count)).cast("int").alias("block"), "node_id", F.col("x").cast("array<double>").alias("x"))
-    return keyed.groupBy("block").applyInArrow(pack, "block int, ids binary, xs binary"), count
+    rows = points.select("node_id", F.col("x").cast("array<double>").alias("x")).coalesce(max(1, -(-n // size)))
+    return rows.mapInArrow(pack, "part int, at int, ids binary, xs binary")
 
 
 def _least(d: np.ndarray, m: int) -> np.ndarray:
@@ -166,13 +172,17 @@ def knn(points: DataFrame, k: int | None = None, metric: str = "poincare", n: in
     schema = "i long, j long, d double, rank int"
     if n <= 1 or k < 1:
         return points.sparkSession.createDataFrame([], schema)
-    packed, count = blocks(points, n)
+    packed = checkpointed(blocks(points, n))
+    parts = dict(packed.groupBy("part").count().collect())
+    first, count = [0] * (1 + max(parts)), 0  # the number of each part's first block
+    for part in sorted(parts):
+        first[part], count = count, count + parts[part]
+    packed = packed.select((F.lit(first)[F.col("part")] + F.col("at")).alias("block"), "ids", "xs")
     # the tasks of the strips fill the cores evenly
     cores = max(1, points.sparkSession.sparkContext.defaultParallelism)
     strips = min(count, -(--(-count // STRIP) // cores) * cores) if count > cores else count
     # one partition of blocks (twice: for their own strip, then for the others) times a partition for each strip: every
     # task streams the left side from the checkpoint and holds one row of the right
-    packed = checkpointed(packed)
     turn = lambda far: packed.withColumn("far", F.lit(far)).coalesce(1)
     numbers = points.sparkSession.range(0, strips, 1, strips).select(F.col("id").cast("int").alias("strip"))
     meets = F.col("far") == (F.col("block") % strips != F.col("strip"))
@@ -273,11 +283,15 @@ def knn_approx(points: DataFrame, k: int | None = None, oversampling: int = 3, n
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
+def halves(near: DataFrame) -> DataFrame:
+    """(i, j, d) with i < j: every edge once, where either end has the other as a neighbour. ``near`` is worked out once."""
+    one = near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d")
+    return one.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"))
+
+
 def symmetric(near: DataFrame) -> DataFrame:
-    """(i, j, d) in both directions, once each: an edge where either end has the other as a neighbour. Rows of one i
-    lie together, so that sums by i need no further exchange. ``near`` is worked out once."""
-    both = near.selectExpr("inline(array(struct(i, j, d), struct(j as i, i as j, d)))")
-    return both.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"))
+    """(i, j, d): the edges of halves in both directions."""
+    return both(halves(near))
 
 
 def median(values: DataFrame, bins: int = 4096) -> float | None:
@@ -314,29 +328,30 @@ def tau(near: DataFrame, mode: str = "symmetric") -> DataFrame:
     """(tau): median distance over the symmetric edges or over the directed neighbours, 1e-10 at least."""
     if mode not in ("symmetric", "directed"):
         raise ValueError(f"unknown mode {mode!r}")
-    d = symmetric(near) if mode == "symmetric" else near
-    return near.sparkSession.createDataFrame([(_tau(checkpointed(d), mode),)], "tau double")
+    d = halves(near) if mode == "symmetric" else near
+    return near.sparkSession.createDataFrame([(_tau(checkpointed(d)),)], "tau double")
 
 
-def _tau(rows: DataFrame, mode: str) -> float:
+def _tau(rows: DataFrame) -> float:
     """Of edges in both directions, each with the same distance, one direction has the same median."""
-    return max(median((rows.where("i < j") if mode == "symmetric" else rows).select("d")) or 0.0, 1e-10)
+    return max(median(rows.select("d")) or 0.0, 1e-10)
 
 
-def knn_graph(points: DataFrame, k: int | None = None, metric: str = "poincare", weighted: bool = True, tau_mode: str = "symmetric", tau_value: float | None = None, approx: bool = False) -> DataFrame:
-    """(i, j, d, w), both directions: exp(-d^2 / (2 tau^2)), or 1.0 unweighted.
+def knn_graph(points: DataFrame, k: int | None = None, metric: str = "poincare", weighted: bool = True, tau_mode: str = "symmetric", tau_value: float | None = None, approx: bool = False, half: bool = False) -> DataFrame:
+    """(i, j, d, w), both directions or with ``half`` i < j only: exp(-d^2 / (2 tau^2)), or 1.0 unweighted.
 
-    Where tau is worked out, the neighbours are searched once and what tau is read from is checkpointed."""
+    Where tau is worked out, the neighbours are searched once and what tau is read from is checkpointed: edges once each."""
     if tau_mode not in ("symmetric", "directed"):
         raise ValueError(f"unknown mode {tau_mode!r}")
     near = knn_approx(points, k) if approx else knn(points, k, metric)
+    turned = (lambda edges: edges) if half else both
     if not weighted:
-        return symmetric(near).withColumn("w", F.lit(1.0))
+        return turned(halves(near)).withColumn("w", F.lit(1.0))
     if tau_value is None and tau_mode == "directed":
         near = checkpointed(near)
-        tau_value = _tau(near, tau_mode)
-    edges = symmetric(near)
+        tau_value = _tau(near)
+    edges = halves(near)
     if tau_value is None:
         edges = checkpointed(edges)
-        tau_value = _tau(edges, tau_mode)
-    return edges.withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * tau_value * tau_value)))
+        tau_value = _tau(edges)
+    return turned(edges.withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * tau_value * tau_value))))
