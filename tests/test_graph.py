@@ -124,6 +124,20 @@ def test_laplacian_of_edges_once_each(spark):
     assert got == rows(graph.normalized_laplacian(nodes, graph.both(once))) and len(got) == 9 + 12
 
 
+def test_heat_weights_of_a_graph_join_no_degrees(spark, monkeypatch):
+    nodes = spark.range(9).withColumnRenamed("id", "node_id")  # 8 has no edge
+    once = spark.createDataFrame([(0, 1, 0.5), (1, 7, 2.0), (2, 3, 1e-9), (0, 7, 3.0), (4, 5, 1.0), (5, 6, 0.25)], "i long, j long, w double")
+    foci = spark.createDataFrame([(0,), (2,), (8,), (77,)], "focus long")
+    grid = spark.createDataFrame([(0, 0.0), (1, 0.5), (2, 20.0)], "sigma_idx int, sigma double")
+    lap = graph.normalized_laplacian(nodes, once, half=True)
+    want = {tuple(r)[:4]: r["w"] for r in diffusion.heat_weights_exact(nodes, lap, foci, grid, 2.0).collect()}
+    monkeypatch.delattr(graph, "normalized_laplacian")
+    got = {tuple(r)[:4]: r["w"] for r in diffusion.heat_weights_of_graph(nodes, once, foci, grid).collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 3 * 9
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+    assert graphs.QUERIES["heat_weights_exact"](spark, "/root/testdata/sf0.001").count() == 1000
+
+
 def test_knn_edges(spark):
     p, _ = points(spark)
     one = p.where("node_id = 0")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import total
-from .graph import Packed
+from .graph import Packed, both
 
 
 def heat_weights(eigvals: DataFrame, eigvecs: DataFrame, foci: DataFrame, grid: DataFrame) -> DataFrame:
@@ -65,7 +65,20 @@ def heat_weights_exact(nodes: DataFrame, laplacian: DataFrame, foci: DataFrame,
     bound: no eigenvalue is larger (2 for a normalised Laplacian); the largest absolute row sum if not given. All scales
     share one product a degree; about sigma * bound / 2 + 20 are needed at small scales. A focus that is no node has no rows."""
     packed = Packed(nodes, laplacian)
-    bound = bound or packed.bound() or 1.0
+    return _by_polynomials(packed, packed.times, foci, grid, bound or packed.bound() or 1.0)
+
+
+def heat_weights_of_graph(nodes: DataFrame, halves: DataFrame, foci: DataFrame, grid: DataFrame) -> DataFrame:
+    """heat_weights_exact for the normalised Laplacian of edges(i, j, w), each there once: the weights are packed and the
+    degrees are one product, so no entry is joined with a degree."""
+    packed = Packed(nodes, both(halves.select("i", "j", F.col("w").alias("v"))))
+    degree = packed.times(np.ones(len(packed.ids)))
+    s = np.divide(1, np.sqrt(degree), out=np.zeros(len(degree)), where=degree > 0)[:, None]
+    return _by_polynomials(packed, lambda x: x - s * packed.times(s * x), foci, grid, 2.0)
+
+
+def _by_polynomials(packed: Packed, times, foci: DataFrame, grid: DataFrame, bound: float) -> DataFrame:
+    """Chebyshev polynomials of the matrix that ``times`` multiplies by."""
     at = {f: int(i) for f in sorted({r[0] for r in foci.collect()}) if (i := np.searchsorted(packed.ids, f)) < len(packed.ids) and packed.ids[i] == f}
     scales = sorted((r["sigma_idx"], r["sigma"]) for r in grid.collect())
     coef = chebyshev([s for _, s in scales], bound)
@@ -73,7 +86,7 @@ def heat_weights_exact(nodes: DataFrame, laplacian: DataFrame, foci: DataFrame,
     now[list(at.values()), range(len(at))] = 1
     first, u = now, coef[:, 0, None, None] * now
     for m in range(1, coef.shape[1] if at else 0):
-        y = packed.times(now)
+        y = times(now)
         if m == 1:
             own = (y * first).sum(0)
             alone = ~((y != 0) & (first == 0)).any(0)
