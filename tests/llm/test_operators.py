@@ -3,10 +3,13 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -530,3 +533,18 @@ def test_very_long_white_space(spark):
     got = token_counts.token_counts(made(spark, texts)).orderBy("doc_id").collect()
     assert [r["n_chars"] for r in got] == [1_000_001, 300_000, 300_000]
     assert all(sum(r["section_tokens"]) == r["n_tokens"] for r in got)
+
+
+def test_workers_of_the_pipeline_hold_little_at_once():
+    texts = [noise(i, 400, 20_000) for i in range(4_000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    rng = np.random.default_rng(1)
+    model = {"labels": ["a", "b", "c"], "weights": rng.standard_normal((language.FEATURES, 3)).astype(np.float32), "trans": np.eye(3)}
+    sent = lambda x: types.SimpleNamespace(value=x)
+    for run, most in ((ngram_join._stats, 90), (ngram_join._prefixes(8, sent(np.zeros(0, np.uint64)), False), 50), (lambda b: language._predict(sent(model), b), 40)):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        assert peak < most, peak

@@ -41,7 +41,7 @@ N = 5
 #: Shingles that a task gathers before it reduces them; the length of the list of frequent ones; the longest list
 #: whose pairs are all candidates at once; candidates of one centre, or sets of one tree, verified together; shingles
 #: of one tree; partners of a set in a round with pivots; pivots of a long list.
-FLUSH, FREQUENT, SHORT, TOGETHER, TREE, TOP, PIVOTS = 1 << 21, 1 << 16, 8, 512, 1 << 20, 2, 6
+FLUSH, FREQUENT, SHORT, TOGETHER, TREE, TOP, PIVOTS = 1 << 20, 1 << 16, 8, 512, 1 << 20, 2, 6
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,8 +14,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text worked on at once; one longer document makes a piece of its own.
-PIECE = 1 << 21
+#: Bytes of text worked on at once (some 40 bytes of arrays each, in every worker); one longer document makes a piece of its own.
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
