@@ -535,6 +535,29 @@ def test_very_long_white_space(spark):
     assert all(sum(r["section_tokens"]) == r["n_tokens"] for r in got)
 
 
+def test_scores_need_no_greatest_where_they_are_bounded(monkeypatch):
+    p = recurrent.start(1e6 / np.arange(1, recurrent.WORDS + 1), 1e5)
+    rng = np.random.default_rng(3)
+    words = rng.integers(recurrent.WORDS + 1, size=(9, 32))
+    h0, before, valid = np.zeros((9, recurrent.HIDDEN), np.float32), np.full(9, 2), np.ones((9, 32), bool)
+
+    def both(p):
+        g = recurrent.zeros(p)
+        h, lp = recurrent.gradient(p, words, h0, before, valid, 2, g)
+        return h, lp, recurrent.whole(p, g), recurrent.log_prob(p, np.repeat(h, 32, 0), words.ravel())
+
+    plain = both(p)
+    assert recurrent._layers(p)[2]
+    monkeypatch.setattr(recurrent, "BOUND", 0.0)
+    for a, b in zip(plain, both(p), strict=True):
+        for k in a if isinstance(a, dict) else [None]:
+            np.testing.assert_allclose(a if k is None else a[k], b if k is None else b[k], rtol=1e-3, atol=1e-3)
+    monkeypatch.undo()
+    large = p | {"class_w": p["class_w"] * 2000, "word_w": p["word_w"] * 2000}
+    h, lp, g, of = both(large)
+    assert not recurrent._layers(large)[2] and np.isfinite(lp) and np.isfinite(of).all() and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_workers_of_the_pipeline_hold_little_at_once():
     texts = [noise(i, 400, 20_000) for i in range(4_000)]
     batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})

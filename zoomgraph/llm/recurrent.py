@@ -54,24 +54,38 @@ def step(p: dict, x: np.ndarray, h: np.ndarray):
     return c + z * (h - c), z, r, c
 
 
-def _softmax_error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probabilities of the outputs ``at`` of scores x (outputs, rows), which become probabilities less one at ``at``."""
+def _exp(x: np.ndarray, bounded: bool) -> np.ndarray:
+    """In place. Scores without a bound are first taken from their greatest."""
+    if not bounded:
+        x -= x.max(0)
+    return np.exp(x, out=x)
+
+
+def _softmax_error(x: np.ndarray, at: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the outputs ``at`` of scores x (outputs, rows), which become probabilities less one at ``at``,
+    each times a row's sum; and one over the sums."""
     i = np.arange(len(at))
-    x -= x.max(0)
-    lp = x[at, i]
-    np.exp(x, out=x)
+    _exp(x, bounded)
     s = x.sum(0)
-    x /= s
-    x[at, i] -= 1
-    return lp - np.log(s)
+    y = x[at, i]
+    x[at, i] = y - s
+    return np.log(np.maximum(y, TINY) / s), 1 / s
+
 
+#: Rows that go through the class layer at once; the greatest score of an output whose exp and sums of it are floats.
+ROWS, BOUND, TINY = 512, 60.0, 1e-37
 
-#: Rows that go through the class layer at once.
-ROWS = 1024
 
+def _layers(p: dict) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights of classes and words with the biases as one more row, and whether no score can pass BOUND: states lie
+    between -1 and 1."""
+    c, w = np.concatenate([p["class_w"], p["class_b"][None]]), np.concatenate([p["word_w"], p["word_b"][:, None]], 1)
+    return c, w, max(float(np.abs(c).sum(0).max()), float(np.abs(w).sum(1).max())) < BOUND
 
-def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(0)
+
+def _log_chosen(x: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    if not bounded:
+        x -= x.max(0)
     lp = x[at, np.arange(len(at))]
     np.exp(x, out=x)
     return lp - np.log(x.sum(0))
@@ -80,16 +94,18 @@ def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def log_prob(p: dict, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log probability of each word after state h; of a word of no class, that of ``rest``."""
     order = np.argsort((word // CLASS).astype(np.int16), kind="stable")  # so that each class has its rows side by side
-    hh, at = np.ascontiguousarray(h[order].T), word[order]
+    hh, at = np.ones((HIDDEN + 1, len(order)), h.dtype), word[order]
+    hh[:HIDDEN] = h[order].T
+    class_w, word_w, bounded = _layers(p)
     c = at // CLASS
     bounds = np.searchsorted(c, np.arange(CLASSES + 1))
     lp, out = np.empty(len(at), h.dtype), np.empty(len(at), h.dtype)
     for a in range(0, len(at), ROWS):
-        lp[a : a + ROWS] = _log_chosen(p["class_w"].T @ hh[:, a : a + ROWS] + p["class_b"][:, None], c[a : a + ROWS])
+        lp[a : a + ROWS] = _log_chosen(class_w.T @ hh[:, a : a + ROWS], c[a : a + ROWS], bounded)
     for k in np.flatnonzero(np.diff(bounds)):
         for a in range(bounds[k], bounds[k + 1], ROWS):
             b = min(a + ROWS, bounds[k + 1])
-            lp[a:b] += _log_chosen(p["word_w"][k].T @ hh[:, a:b] + p["word_b"][k][:, None], at[a:b] - k * CLASS)
+            lp[a:b] += _log_chosen(word_w[k].T @ hh[:, a:b], at[a:b] - k * CLASS, bounded)
     out[order] = lp
     return out
 
@@ -118,14 +134,27 @@ def gradient(p: dict, words: np.ndarray, h0: np.ndarray, before: np.ndarray, val
     window and the sum of log probabilities."""
     n, t_len = words.shape
     ins = np.concatenate([before[None], words.T[:-1]])  # by time, then lane
-    go_on = (ins != end).astype(p["embed"].dtype)[:, :, None]
-    e = p["embed"][ins.ravel()]
-    x = (e @ p["input"] + p["bias"]).reshape(t_len, n, -1)
-    hs, out, z, r, c = (np.empty((t_len, n, HIDDEN), x.dtype) for _ in range(5))
-    h = h0
+    go_on = (ins != end).astype(p["embed"].dtype)[:, None]
+    # states, gates and their gradients by time, unit and lane, so that all parts of a step are contiguous
+    e = np.ascontiguousarray(p["embed"][ins].transpose(0, 2, 1))
+    to_input, to_gates, to_cand = (np.ascontiguousarray(p[k].T) for k in ("input", "gates", "cand"))
+    hs, out, rh, c, past = (np.empty_like(e) for _ in range(5))
+    zr, x = np.empty((t_len, 2 * HIDDEN, n), e.dtype), np.empty((3 * HIDDEN, n), e.dtype)
+    h = np.ascontiguousarray(h0.T)
     for t in range(t_len):
+        np.matmul(to_input, e[t], out=x)
+        x += p["bias"][:, None]
         np.multiply(h, go_on[t], out=hs[t])
-        out[t], z[t], r[t], c[t] = step(p, x[t], hs[t])
+        np.matmul(to_gates, hs[t], out=zr[t])
+        zr[t] += x[: 2 * HIDDEN]
+        _sigmoid(zr[t])
+        np.multiply(zr[t, HIDDEN:], hs[t], out=rh[t])
+        np.matmul(to_cand, rh[t], out=c[t])
+        c[t] += x[2 * HIDDEN :]
+        np.tanh(c[t], out=c[t])
+        np.subtract(hs[t], c[t], out=past[t])
+        np.multiply(zr[t, :HIDDEN], past[t], out=out[t])
+        out[t] += c[t]
         h = out[t]
     # by class, so that each class has its rows side by side
     flat = words.T.ravel()
@@ -133,46 +162,55 @@ def gradient(p: dict, words: np.ndarray, h0: np.ndarray, before: np.ndarray, val
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 2))
     order = order[: bounds[-1]]
-    hh, at, cls = np.ascontiguousarray(out.reshape(n * t_len, HIDDEN)[order].T), flat[order], cls[order]
-    lp, dh = np.empty(len(order), x.dtype), np.empty_like(hh)
+    hh, at, cls = np.ones((HIDDEN + 1, len(order)), x.dtype), flat[order], cls[order]
+    hh[:HIDDEN] = out.transpose(0, 2, 1).reshape(n * t_len, HIDDEN)[order].T
+    lp, dh = np.empty(len(order), x.dtype), np.empty((HIDDEN, len(order)), x.dtype)
+    class_w, word_w, bounded = _layers(p)
     for a in range(0, len(order), ROWS):
         b = min(a + ROWS, len(order))
-        y = p["class_w"].T @ hh[:, a:b] + p["class_b"][:, None]
-        lp[a:b] = _softmax_error(y, cls[a:b])
-        g["class_w"] += hh[:, a:b] @ y.T
-        g["class_b"] += y.sum(1)
-        dh[:, a:b] = p["class_w"] @ y
+        y = class_w.T @ hh[:, a:b]
+        lp[a:b], over = _softmax_error(y, cls[a:b], bounded)
+        by = (hh[:, a:b] * over) @ y.T
+        g["class_w"] += by[:HIDDEN]
+        g["class_b"] += by[HIDDEN]
+        dh[:, a:b] = (p["class_w"] @ y) * over
     for k in np.flatnonzero(np.diff(bounds[: CLASSES + 1])):
-        a, b = bounds[k], bounds[k + 1]
-        y = p["word_w"][k].T @ hh[:, a:b] + p["word_b"][k][:, None]
-        lp[a:b] += _softmax_error(y, at[a:b] - k * CLASS)
-        g["word_w"][k] += hh[:, a:b] @ y.T
-        g["word_b"][k] += y.sum(1)
-        dh[:, a:b] += p["word_w"][k] @ y
+        for a in range(bounds[k], bounds[k + 1], ROWS):
+            b = min(a + ROWS, bounds[k + 1])
+            y = word_w[k].T @ hh[:, a:b]
+            lp_k, over = _softmax_error(y, at[a:b] - k * CLASS, bounded)
+            lp[a:b] += lp_k
+            by = (hh[:, a:b] * over) @ y.T
+            g["word_w"][k] += by[:HIDDEN]
+            g["word_b"][k] += by[HIDDEN]
+            dh[:, a:b] += (p["word_w"][k] @ y) * over
     back_to = np.zeros((n * t_len, HIDDEN), x.dtype)
     back_to[order] = dh.T
-    dh = back_to.reshape(t_len, n, HIDDEN)
-    rh = r * hs
-    by_c, by_z, by_r = (1 - z) * (1 - c * c), (hs - c) * z * (1 - z), rh * (1 - r)
-    dx = np.empty_like(x)
-    back = np.zeros((n, HIDDEN), x.dtype)
-    gates, cand = (np.ascontiguousarray(p[k].T) for k in ("gates", "cand"))
+    dh = np.ascontiguousarray(back_to.reshape(t_len, n, HIDDEN).transpose(0, 2, 1))
+    dx, back, rows = np.empty_like(x), np.zeros((HIDDEN, n), x.dtype), np.empty((t_len, n, HIDDEN), x.dtype)
     for t in range(t_len - 1, -1, -1):
-        d = dh[t] + back
-        dcand = d * by_c[t]
-        drh = dcand @ cand
-        dx[t, :, :HIDDEN] = d * by_z[t]
-        dx[t, :, HIDDEN : 2 * HIDDEN] = drh * by_r[t]
-        dx[t, :, 2 * HIDDEN :] = dcand
-        back = (d * z[t] + drh * r[t] + dx[t, :, : 2 * HIDDEN] @ gates) * go_on[t]
-    fx, hs, rh = dx.reshape(n * t_len, -1), hs.reshape(-1, HIDDEN), rh.reshape(-1, HIDDEN)
-    g["gates"] += hs.T @ fx[:, : 2 * HIDDEN]
-    g["cand"] += rh.T @ fx[:, 2 * HIDDEN :]
-    g["input"] += e.T @ fx
-    g["bias"] += fx.sum(0)
+        z, r = zr[t, :HIDDEN], zr[t, HIDDEN:]
+        d = dh[t]
+        d += back
+        dz = d * z
+        left = d - dz
+        np.multiply(left, 1 - c[t] * c[t], out=dx[2 * HIDDEN :])
+        drh = p["cand"] @ dx[2 * HIDDEN :]
+        np.multiply(left * z, past[t], out=dx[:HIDDEN])
+        drh *= r
+        np.multiply(drh, hs[t] * (1 - r), out=dx[HIDDEN : 2 * HIDDEN])
+        back = p["gates"] @ dx[: 2 * HIDDEN]
+        back += dz
+        back += drh
+        back *= go_on[t]
+        g["gates"] += hs[t] @ dx[: 2 * HIDDEN].T
+        g["cand"] += rh[t] @ dx[2 * HIDDEN :].T
+        g["input"] += e[t] @ dx.T
+        g["bias"] += dx.sum(1)
+        np.matmul(dx.T, to_input, out=rows[t])
     g["at"].append(ins.ravel())
-    g["by"].append(fx @ p["input"].T)
-    return h, float(lp.sum())
+    g["by"].append(rows.reshape(-1, HIDDEN))
+    return np.ascontiguousarray(h.T), float(lp.sum())
 
 
 class Trainer:
