@@ -13,18 +13,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate: each hooks every neighbour of a node to the least one it
     knows, until all edges lead straight to their component's least id. The least neighbours are pre-aggregated, the
-    joins with them are ones that Spark splits where a node has many neighbours, and the edge list never grows.
-    A round is one job: the number of its edges and the sum of their hashes, taken on the way, tell its end."""
+    joins with them are ones that Spark splits where a node has many neighbours, and the edge list never grows. They
+    are not broadcast: each table of each round would lie in the driver until its next garbage collection.
+    A round is one job: the number of its edges and the sum of their hashes, taken on the way, tell its end. The result
+    is one scratch table, and can stand for the edges where more are added later."""
     mark = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y"))
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), *mark)
     while now.measured["n"]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("merge")
         # large star: larger neighbours go to the least one
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: a node's smaller neighbours, and the node, go to the least one
-        m = large.groupBy("a").agg(F.min("b").alias("m"))
+        m = large.groupBy("a").agg(F.min("b").alias("m")).hint("merge")
         small = large.join(m, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         new = cut(small.where("a <> b").distinct(), *mark)
         if new.measured == now.measured:
@@ -32,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         release(now)
         now = new
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out.scratch = now.scratch
+    return out

@@ -490,22 +490,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW))).join(ids.join(hot, "doc_id", "left").hint("merge"), "doc_id").join(classed.where("doc_id = class_id").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
     live = cut(live.dropDuplicates(["doc_id"]).select("doc_id", "text", "n", F.coalesce("hot", F.lit(False)).alias("hot")))
     pairs = found.where("a <> b").select("a", "b")
-    links = cut(_links(pairs, live, last))
+    # what is known of components stands for the links it came from, so no search for them begins anew
+    first = components(_links(pairs, live, last))
 
-    def label(links: DataFrame) -> DataFrame:
-        of = live.select("doc_id").join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    def label(known: DataFrame) -> DataFrame:
+        of = live.select("doc_id").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
         sized = of.join(of.groupBy("comp").agg(F.count("*").alias("weight")), "comp")
         return live.join(sized, "doc_id").select("doc_id", "text", "comp", "weight", "n", "hot")
 
-    more = cut(candidates(label(links).where("hot"), True, 1).where("a <> b").select("a", "b").join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
-    links = links.union(cut(_links(more, live, last)))
-    labelled = cut(label(links))
-    asks = labelled.mapInArrow(_prefixes(bits, last, True), PREFIX).groupBy("bucket").applyInArrow(_asks(parts), PAIRS).groupBy("grp").applyInArrow(_asked, "comp long, id long")
-    links = links.union(_bridges(cut(asks), labelled, last))
+    more = cut(candidates(label(first).where("hot"), True, 1).where("a <> b").select("a", "b").join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
+    second = components(first.toDF("a", "b").union(_links(more, live, last)))
+    release(found, first, more)
+    labelled = cut(label(second))
+    release(live)
+    asks = cut(labelled.mapInArrow(_prefixes(bits, last, True), PREFIX).groupBy("bucket").applyInArrow(_asks(parts), PAIRS).groupBy("grp").applyInArrow(_asked, "comp long, id long"))
+    links = second.toDF("a", "b").union(_bridges(asks, labelled, last))
     # rows of one id with several texts are one
     same = classed.where("n > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b")
     same = classed.where("n > 0").join(same.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     final = components(links.union(same)).withColumnRenamed("id", "class_id")
+    release(second, labelled, asks)
+    last.destroy()
     out = classed.join(final, "class_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     return out.select(*[F.nullif(F.col(c), F.lit(LOW).cast("long")).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
